@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, langid, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    documents = _table(spark, sf_dir, "documents")
+    trees = langid.learn(documents.where(~langid.held_out()))
+    out = langid.predict(documents, trees)
+    return out.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit."""
     return bpe.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -23,6 +32,36 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op9_byte_bpe)}
+#: Fixed values of the query: verdict, host, path.
+URL_RULES = (
+    urls.Rule("allow", "com", "/"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict."""
+    return urls.url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP5_SQL = """
+WITH parts AS (
+  SELECT page_id,
+    translate(CASE WHEN instr(coalesce(url, ''), '://') = 0 THEN '' ELSE regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*') END,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    CASE WHEN instr(coalesce(url, ''), '://') = 0 THEN '' ELSE regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) END AS path
+  FROM pages),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+judged AS (
+  SELECT host, path, r.h || r.p AS rule, r.verdict, row_number() OVER (PARTITION BY host, path ORDER BY length(r.h || r.p) DESC) AS n
+  FROM (SELECT DISTINCT host, path FROM parts) k JOIN rules r ON (k.host = r.h OR ends_with(k.host, '.' || r.h)) AND starts_with(k.path, r.p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM judged WHERE n = 1) USING (host, path)
+"""
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_token_counts, op5_url_filter, op9_byte_bpe)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_url_filter": OP5_SQL}
