@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, urls
+from . import bpe, langid, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit(documents, labels.where(quality.learning_row()))
+    out = quality.score(documents, model)
+    return out.select("doc_id", F.coalesce(~quality.learning_row(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -62,6 +70,6 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM judged WHERE n = 1) USING (host, path)
 """
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_token_counts, op5_url_filter, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_token_counts, op5_url_filter, op7_quality, op9_byte_bpe)}
 
 ORACLE: dict[str, str] = {"op5_url_filter": OP5_SQL}
