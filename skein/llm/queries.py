@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, urls
+from . import bpe, decontaminate, langid, lines, quality, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, distance, begin, end: one row for each pair of a document and an item found in it."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     documents = _table(spark, sf_dir, "documents")
@@ -34,6 +39,26 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(~quality.learning_row(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, text (what is left)."""
+    return lines.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP8_SQL = """
+WITH split AS (
+  SELECT source, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))) AS lines FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+each AS (SELECT source, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
+placed AS (SELECT source, line, CASE WHEN pos > 1 THEN lines[pos - 1] END AS b, lines[pos + 1] AS a FROM each WHERE line <> ''),
+around AS (SELECT line, b, a, count(*) AS times, min(source) AS site FROM placed GROUP BY ALL),
+gone AS (SELECT line FROM around GROUP BY line HAVING count(*) >= 10 AND count(*) >= sum(times) * 0.5 AND count(DISTINCT site) >= 10),
+listed AS (SELECT coalesce(list(line), []) AS g FROM gone),
+cut AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(g, trim(x, ' ' || chr(9) || chr(13)))) AS kept
+  FROM documents CROSS JOIN listed)
+SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(kept), 0) AS n_removed, array_to_string(kept, chr(10)) AS text FROM cut
+"""
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -70,6 +95,6 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM judged WHERE n = 1) USING (host, path)
 """
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_token_counts, op5_url_filter, op7_quality, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_token_counts, op5_url_filter, op7_quality, op8_line_dedup, op9_byte_bpe)}
 
-ORACLE: dict[str, str] = {"op5_url_filter": OP5_SQL}
+ORACLE: dict[str, str] = {"op5_url_filter": OP5_SQL, "op8_line_dedup": OP8_SQL}
