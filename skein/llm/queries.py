@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lines, quality, urls
+from . import bpe, decontaminate, langid, lines, quality, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,24 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP6_SQL = """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+each AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM sound),
+scores AS (
+  SELECT q.vec_id AS query_id, e.vec_id, CAST(sum(q.x * e.x) AS BIGINT) AS score FROM each q JOIN each e ON q.i = e.i AND q.vec_id <> e.vec_id
+  WHERE q.vec_id % 100 = 0 GROUP BY 1, 2)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 10
+"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -95,6 +113,6 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM judged WHERE n = 1) USING (host, path)
 """
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_token_counts, op5_url_filter, op7_quality, op8_line_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_token_counts, op5_url_filter, op6_top_k, op7_quality, op8_line_dedup, op9_byte_bpe)}
 
-ORACLE: dict[str, str] = {"op5_url_filter": OP5_SQL, "op8_line_dedup": OP8_SQL}
+ORACLE: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL}
