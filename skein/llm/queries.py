@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lines, quality, topk, urls
+from . import bpe, decontaminate, jaccard, langid, lines, quality, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, distance, begin, end: one row for each pair of a document and an item found in it."""
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -113,6 +118,6 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM judged WHERE n = 1) USING (host, path)
 """
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_language_id, op4_token_counts, op5_url_filter, op6_top_k, op7_quality, op8_line_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_decontamination, op3_language_id, op4_token_counts, op5_url_filter, op6_top_k, op7_quality, op8_line_dedup, op9_byte_bpe)}
 
 ORACLE: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL}
