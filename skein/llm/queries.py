@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, langid, lines, quality, topk, urls
+from . import bpe, decontaminate, jaccard, langid, lines, quality, repeats, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 #: Fixed values of the query: verdict, host, path.
 URL_RULES = (
     urls.Rule("allow", "com", "/"),
@@ -118,6 +123,6 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM judged WHERE n = 1) USING (host, path)
 """
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_decontamination, op3_language_id, op4_token_counts, op5_url_filter, op6_top_k, op7_quality, op8_line_dedup, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_decontamination, op3_language_id, op4_token_counts, op5_url_filter, op6_top_k, op7_quality, op8_line_dedup, op9_byte_bpe, op10_suffix_dedup)}
 
 ORACLE: dict[str, str] = {"op5_url_filter": OP5_SQL, "op6_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL}
