@@ -1,6 +1,361 @@
-"""The registered queries of the relational engine and their SQL."""
+"""The registered queries of the relational engine, one or more for each operator, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import records as fields
+from .operators import hashing, indexes, records, sorting, statistics
+from .operators.joins import inner_join
+from .plans import AccessMethod, FilterSpec, JoinAlgorithm, JoinNode, JoinSpec, QueryPlan, execute, parse_filter_clause, parse_join_clause, push_down, query, reorder
+from .sources.registry import Registry, TableBuilder
+
+COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+}
+CHAIN = "customer.c_custkey:orders.o_custkey orders.o_orderkey:lineitem.l_orderkey"
+LINE_TIES = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def _registered(sql: str):
+    def add(f):
+        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> Registry:
+    return Registry.of_parquet(spark, sf_dir, [*COLUMNS, "part", "events"])
+
+
+def _qualified(*tables: str) -> str:
+    return ", ".join(f"{c} AS {t}__{c}" for t in tables for c in COLUMNS[t].split())
+
+
+@_registered("SELECT * FROM nation")
+def scan_full(spark, sf_dir):
+    return _tables(spark, sf_dir).table("nation")
+
+
+@_registered("SELECT * FROM orders WHERE o_orderkey >= 14000")
+def scan_positioned(spark, sf_dir):
+    return _tables(spark, sf_dir).scan_from("orders", "o_orderkey", 14000)
+
+
+@_registered("SELECT n_nationkey, upper(n_name) AS loud FROM nation")
+def scan_pages(spark, sf_dir):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def loud(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("n_nationkey"), pc.utf8_upper(b.column("n_name"))], ["n_nationkey", "loud"])
+
+    return _tables(spark, sf_dir).scan_pages("nation", loud, "n_nationkey int, loud string")
+
+
+@_registered("SELECT unnest(['region', 'nation', 'customer', 'supplier', 'orders', 'lineitem', 'part', 'events']) AS name, unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS oid")
+def scan_catalog(spark, sf_dir):
+    return _tables(spark, sf_dir).tables().select("name", "oid")
+
+
+@_registered("SELECT 'nation' AS name, true AS present UNION ALL SELECT 'gone', false UNION ALL SELECT 'region', false")
+def catalog_changes(spark, sf_dir):
+    registry = _tables(spark, sf_dir)
+    registry.delete_table("region")
+    registry.delete_table("gone")
+    return spark.createDataFrame([(n, registry.table_exists(n)) for n in ("nation", "gone", "region")], "name string, present boolean")
+
+
+@_registered("SELECT c_custkey, c_name FROM customer")
+def attribute_extract(spark, sf_dir):
+    return _tables(spark, sf_dir).table("customer").select("c_custkey", "c_name")
+
+
+@_registered("SELECT s_name, s_acctbal FROM supplier")
+def nested_record(spark, sf_dir):
+    rows = fields.nested(_tables(spark, sf_dir).table("supplier"), "rec", "s_name", "s_acctbal")
+    return rows.select(F.col("rec.s_name"), F.col("rec.s_acctbal"))
+
+
+@_registered("SELECT n_nationkey, CAST(4 + 4 + 2 * length(n_name) + 4 AS INTEGER) AS encoded_size FROM nation")
+def record_size(spark, sf_dir):
+    nation = _tables(spark, sf_dir).table("nation")
+    return nation.select("n_nationkey", fields.encoded_size(nation).cast("int").alias("encoded_size"))
+
+
+@_registered(f"SELECT {', '.join(f'{t}.{c}' for t in ('nation', 'region') for c in COLUMNS[t].split())} FROM nation JOIN region ON n_regionkey = r_regionkey")
+def joined_record_split(spark, sf_dir):
+    from .plans.executor import by_table
+
+    return by_table(query(_tables(spark, sf_dir), "nation.n_regionkey:region.r_regionkey")).select("nation.*", "region.*")
+
+
+def _filter_query(name: str, clause: str, table: str, where: str) -> None:
+    def run(spark, sf_dir):
+        return query(_tables(spark, sf_dir), filter_clause=clause)
+
+    run.__name__ = name
+    _registered(f"SELECT {_qualified(table)} FROM {table} WHERE {where}")(run)
+
+
+_filter_query("filter_eq", "lineitem.l_linenumber = 3", "lineitem", "l_linenumber = 3")
+_filter_query("filter_gt", "orders.o_totalprice > 200000", "orders", "o_totalprice > 200000")
+_filter_query("filter_lt", "customer.c_acctbal < 100.5", "customer", "c_acctbal < 100.5")
+_filter_query("filter_le", "lineitem.l_linenumber <= 1", "lineitem", "l_linenumber <= 1")
+_filter_query("filter_ge", "orders.o_orderkey >= 9000", "orders", "o_orderkey >= 9000")
+_filter_query("filter_string", "nation.n_name >= 'N'", "nation", "n_name >= 'N'")
+_filter_query("filter_timestamp", "orders.o_orderdate >= 1998-01-01", "orders", "o_orderdate >= TIMESTAMP '1998-01-01'")
+_filter_query("filter_conjunction", "orders.o_totalprice > 1000 && orders.o_orderkey <= 5000 & orders.o_custkey > 100", "orders", "o_totalprice > 1000 AND o_orderkey <= 5000 AND o_custkey > 100")
+_filter_query("filter_only_select", "customer.c_nationkey = 7", "customer", "c_nationkey = 7")
+
+
+@_registered(f"SELECT {_qualified('customer')} FROM customer WHERE c_custkey % 7 = 3")
+def filter_user_predicate(spark, sf_dir):
+    spec = FilterSpec("customer", "c_custkey", lambda a, b: a % 7 == b, 3)
+    return execute(QueryPlan(filters=(spec,)), _tables(spark, sf_dir))
+
+
+@_registered("SELECT * FROM customer WHERE c_custkey % 10 <> 0")
+def filter_live_records(spark, sf_dir):
+    return records.live(records.tombstone(_tables(spark, sf_dir).table("customer"), F.col("c_custkey") % 10 == 0))
+
+
+PLACED = f"""SELECT {_qualified('customer', 'orders', 'lineitem')} FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
+WHERE c_nationkey = 1 AND o_totalprice > 1000 AND l_linenumber <= 2"""
+FILTERS = "customer.c_nationkey = 1 & orders.o_totalprice > 1000 & lineitem.l_linenumber <= 2"
+
+
+def _placed(leaf: bool, inner: bool) -> QueryPlan:
+    first, second = parse_join_clause(CHAIN)
+    nation, price, line = parse_filter_clause(FILTERS)
+    if leaf:
+        first = replace(first, left=first.left.filter_by(nation), right=first.right.filter_by(price))
+        second = replace(second, right=second.right.filter_by(line))
+        return QueryPlan((first, second))
+    if inner:
+        second = replace(second, left=second.left.filter_by(nation, price))
+        return QueryPlan((first, second), (line,))
+    return QueryPlan((first, second), (nation, price, line))
+
+
+@_registered(PLACED)
+def pushdown_leaf(spark, sf_dir):
+    return execute(_placed(True, False), _tables(spark, sf_dir))
+
+
+@_registered(PLACED)
+def pushdown_inner_node(spark, sf_dir):
+    return execute(_placed(False, True), _tables(spark, sf_dir))
+
+
+@_registered(PLACED)
+def filters_after_join(spark, sf_dir):
+    return execute(_placed(False, False), _tables(spark, sf_dir))
+
+
+@_registered(PLACED)
+def join_chain_3(spark, sf_dir):
+    return query(_tables(spark, sf_dir), CHAIN, FILTERS, optimizer=push_down)
+
+
+@_registered(f"""SELECT {_qualified('customer', 'orders', 'lineitem', 'supplier')} FROM customer JOIN orders ON c_custkey = o_custkey
+JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey = 3 AND s_acctbal > 2000""")
+def join_chain_4(spark, sf_dir):
+    return query(_tables(spark, sf_dir), CHAIN + " lineitem.l_suppkey:supplier.s_suppkey", "customer.c_nationkey = 3 & supplier.s_acctbal > 2000", optimizer=push_down)
+
+
+@_registered(f"""SELECT {_qualified('orders', 'customer', 'nation')} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE n_regionkey = 2""")
+def join_reordered(spark, sf_dir):
+    registry = _tables(spark, sf_dir)
+    for t in ("orders", "customer", "nation"):
+        registry.statistics.build_table(t)
+    out = query(registry, "orders.o_custkey:customer.c_custkey customer.c_nationkey:nation.n_nationkey", "nation.n_regionkey = 2", optimizer=reorder)
+    return out.select(*[f"{t}__{c}" for t in ("orders", "customer", "nation") for c in COLUMNS[t].split()])
+
+
+def _join_query(name: str, left: str, right: str, keys: tuple[str, str], algorithm: JoinAlgorithm) -> None:
+    def run(spark, sf_dir):
+        node = JoinNode(JoinSpec(left, keys[0]), JoinSpec(right, keys[1]), algorithm)
+        return execute(QueryPlan((node,)), _tables(spark, sf_dir))
+
+    run.__name__ = name
+    _registered(f"SELECT {_qualified(left, right)} FROM {left} JOIN {right} ON {keys[0]} = {keys[1]}")(run)
+
+
+_join_query("join_nested_loops", "supplier", "nation", ("s_nationkey", "n_nationkey"), JoinAlgorithm.NESTED_LOOPS)
+_join_query("join_hash", "orders", "customer", ("o_custkey", "c_custkey"), JoinAlgorithm.HASH)
+_join_query("join_broadcast", "customer", "nation", ("c_nationkey", "n_nationkey"), JoinAlgorithm.BROADCAST)
+_join_query("join_merge", "lineitem", "orders", ("l_orderkey", "o_orderkey"), JoinAlgorithm.MERGE)
+
+
+@_registered("SELECT a.n_name AS n_name, b.n_name AS neighbour FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def join_self(spark, sf_dir):
+    registry = _tables(spark, sf_dir)
+    registry.create_table("other", registry.table("nation"))
+    out = query(registry, "nation.n_regionkey:other.n_regionkey")
+    return out.select(F.col("nation__n_name").alias("n_name"), F.col("other__n_name").alias("neighbour"))
+
+
+@_registered("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey + 1 = c_custkey + 1")
+def join_computed_key(spark, sf_dir):
+    r = _tables(spark, sf_dir)
+    return inner_join(r.table("orders"), r.table("customer"), F.col("o_custkey") + 1, F.col("c_custkey") + 1).select("o_orderkey", "c_name")
+
+
+@_registered("SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem")
+def sort_double(spark, sf_dir):
+    lines = _tables(spark, sf_dir).table("lineitem")
+    return sorting.ranked(lines, "l_extendedprice", *LINE_TIES).select("l_orderkey", "l_linenumber", "l_extendedprice", "pos")
+
+
+@_registered("SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS pos FROM customer")
+def sort_string(spark, sf_dir):
+    return sorting.ranked(_tables(spark, sf_dir).table("customer"), "c_mktsegment", "c_custkey").select("c_custkey", "c_mktsegment", "pos")
+
+
+@_registered("SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos FROM orders")
+def sort_timestamp(spark, sf_dir):
+    return sorting.ranked(_tables(spark, sf_dir).table("orders"), "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate", "pos")
+
+
+@_registered("SELECT * FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1")
+def sort_top1(spark, sf_dir):
+    return sorting.first_by(_tables(spark, sf_dir).table("orders"), "o_totalprice", "o_orderkey")
+
+
+@_registered("SELECT min(l_extendedprice) AS minimum FROM lineitem")
+def sort_minimum(spark, sf_dir):
+    return sorting.minimum(_tables(spark, sf_dir).table("lineitem"), "l_extendedprice")
+
+
+@_registered("SELECT * FROM nation ORDER BY n_nationkey OFFSET 20")
+def sort_skip(spark, sf_dir):
+    return sorting.skip(_tables(spark, sf_dir).table("nation"), 20, ["n_nationkey"])
+
+
+@_registered("SELECT CAST(b AS INTEGER) AS bucket, coalesce(n, 0) AS row_count FROM range(32) r(b) LEFT JOIN (SELECT abs(c_nationkey) % 32 AS k, count(*) AS n FROM customer GROUP BY 1) ON k = b")
+def hash_buckets(spark, sf_dir):
+    return hashing.hash_table(_tables(spark, sf_dir).table("customer"), 32, "c_nationkey").buckets()
+
+
+@_registered("SELECT * FROM orders WHERE o_custkey = 42")
+def hash_find(spark, sf_dir):
+    return hashing.hash_table(_tables(spark, sf_dir).table("orders"), 10, "o_custkey").find(42)
+
+
+@_registered("SELECT * FROM orders WHERE o_custkey = -1")
+def hash_find_missing(spark, sf_dir):
+    return hashing.hash_table(_tables(spark, sf_dir).table("orders"), 10, "o_custkey").find(-1)
+
+
+def _indexed(spark, sf_dir) -> Registry:
+    registry = _tables(spark, sf_dir)
+    registry.indexes.create("orders", "o_custkey", location="o_orderkey")
+    registry.indexes.create("lineitem", "l_linenumber", method="hash", location=F.struct("l_orderkey", "l_partkey"))
+    return registry
+
+
+@_registered("SELECT o_custkey AS key, count(*) AS locations FROM orders GROUP BY 1")
+def index_lookup_count(spark, sf_dir):
+    runs = indexes.locations(_indexed(spark, sf_dir).indexes.open("orders", "o_custkey"))
+    return runs.select("key", F.size("locations").cast("long").alias("locations"))
+
+
+@_registered("SELECT o_custkey AS key, o_orderkey AS location FROM orders")
+def index_overflow_runs(spark, sf_dir):
+    return indexes.explode_run(indexes.locations(_indexed(spark, sf_dir).indexes.open("orders", "o_custkey")))
+
+
+@_registered("SELECT o_orderkey AS location FROM orders WHERE o_custkey = 17")
+def index_lookup(spark, sf_dir):
+    return _indexed(spark, sf_dir).indexes.lookup("orders", "o_custkey", 17)
+
+
+@_registered("SELECT * FROM orders WHERE o_custkey = 17")
+def index_equality_scan(spark, sf_dir):
+    return _indexed(spark, sf_dir).indexes.equality_scan("orders", "o_custkey", 17)
+
+
+@_registered(f"SELECT {_qualified('customer', 'orders')} FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_custkey = 17")
+def index_then_join(spark, sf_dir):
+    spec = FilterSpec("orders", "o_custkey", "=", "17", AccessMethod.INDEX_SCAN)
+    node = JoinNode(JoinSpec("customer", "c_custkey"), JoinSpec("orders", "o_custkey", (spec,)))
+    return execute(QueryPlan((node,)), _indexed(spark, sf_dir))
+
+
+@_registered("SELECT o_custkey AS key, max(o_orderkey) AS location FROM orders GROUP BY 1")
+def index_unique(spark, sf_dir):
+    return indexes.build(_tables(spark, sf_dir).table("orders"), "o_custkey", "o_orderkey", unique=True)
+
+
+@_registered("SELECT count(*) AS row_count FROM lineitem")
+def stats_row_count(spark, sf_dir):
+    return statistics.row_count(_tables(spark, sf_dir).table("lineitem"))
+
+
+@_registered("SELECT count(DISTINCT o_custkey) AS cardinality FROM orders")
+def stats_cardinality(spark, sf_dir):
+    return statistics.cardinality(_tables(spark, sf_dir).table("orders"), "o_custkey")
+
+
+@_registered("""WITH RECURSIVE g AS (SELECT o_custkey v, count(*) c FROM orders GROUP BY 1),
+o AS (SELECT v, c, row_number() OVER (ORDER BY v) rn, (sum(c) OVER ()) // 10 bh FROM g),
+r AS (SELECT rn, v lo, v hi, c::bigint h, (c >= bh) e, bh FROM o WHERE rn = 1
+ UNION ALL SELECT o.rn, CASE WHEN r.e THEN o.v ELSE r.lo END, o.v, (CASE WHEN r.e THEN 0 ELSE r.h END) + o.c, ((CASE WHEN r.e THEN 0 ELSE r.h END) + o.c) >= o.bh, o.bh
+ FROM r JOIN o ON o.rn = r.rn + 1)
+SELECT CAST((row_number() OVER (ORDER BY rn)) - 1 AS INTEGER) AS pos, lo AS range_begin, hi AS range_end, h AS value_count FROM r WHERE e""")
+def stats_histogram(spark, sf_dir):
+    return statistics.histogram(_tables(spark, sf_dir).table("orders"), "o_custkey", 10)
+
+
+@_registered("SELECT o_orderpriority AS value, count(*) AS frequency FROM orders GROUP BY 1")
+def value_frequencies(spark, sf_dir):
+    return statistics.value_frequencies(_tables(spark, sf_dir).table("orders"), "o_orderpriority")
+
+
+@_registered("SELECT * FROM region UNION ALL SELECT 99, 'NOWHERE'")
+def record_append(spark, sf_dir):
+    registry = _tables(spark, sf_dir)
+    with TableBuilder(registry, "region") as builder:
+        builder.insert(99, "NOWHERE")
+    return registry.table("region")
+
+
+@_registered("SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_nationkey = 1 THEN s_acctbal + 10 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def record_update(spark, sf_dir):
+    return records.update(_tables(spark, sf_dir).table("supplier"), F.col("s_nationkey") == 1, s_acctbal=F.col("s_acctbal") + 10)
+
+
+@_registered("SELECT * FROM supplier WHERE NOT (s_nationkey = 1)")
+def record_delete(spark, sf_dir):
+    return records.delete(_tables(spark, sf_dir).table("supplier"), F.col("s_nationkey") == 1)
+
+
+@_registered("SELECT *, s_nationkey = 1 AS deleted FROM supplier")
+def record_all(spark, sf_dir):
+    return records.tombstone(_tables(spark, sf_dir).table("supplier"), F.col("s_nationkey") == 1)
+
+
+@_registered("SELECT * FROM orders WHERE o_orderkey = 5")
+def page_of_records(spark, sf_dir):
+    return records.get(_tables(spark, sf_dir).table("orders"), "o_orderkey", 5)
+
+
+@_registered("SELECT * FROM region WHERE false")
+def record_clear(spark, sf_dir):
+    return records.clear(_tables(spark, sf_dir).table("region"))
