@@ -22,6 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import narrow
 
@@ -149,6 +150,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     source = narrow(df, id=id_col, text=text_col)
     id_type = source.schema["id"].dataType.simpleString()
     item_type = benchmark.schema[item_id].dataType.simpleString()
+    item_arrow = to_arrow_type(benchmark.schema[item_id].dataType)
     out = None
     for block in _blocks(benchmark, item_id, item_text, min_chars, block_chars):
         shared = spark.sparkContext.broadcast(block)  # at most about block_chars characters
@@ -162,7 +164,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
                         rows.append(i)
                         hits.append(hit)
                 ids = batch.column("id").take(pa.array(rows, pa.int64()))
-                columns = [ids, pa.array([h[0] for h in hits])] + [pa.array([h[k] for h in hits], pa.int32()) for k in (1, 2, 3)]
+                columns = [ids, pa.array([h[0] for h in hits], item_arrow)] + [pa.array([h[k] for h in hits], pa.int32()) for k in (1, 2, 3)]
                 if hits:
                     yield pa.RecordBatch.from_arrays(columns, ["id", "item", "distance", "begin", "end"])
 

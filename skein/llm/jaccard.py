@@ -226,9 +226,9 @@ def _per_text(df: DataFrame, schema: str, rows_of) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), batch.column("text")
+            ids, texts = batch.column("id"), batch.column("text")
             for at in range(0, len(ids), 1024):
-                yield rows_of(ids[at : at + 1024], [x.as_py() for x in texts[at : at + 1024]])
+                yield rows_of(ids.slice(at, 1024), [x.as_py() for x in texts.slice(at, 1024)])
 
     return df.mapInArrow(run, schema)
 
@@ -281,7 +281,7 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def sized(ids, texts):
         found = [shingles(x, words) for x in texts]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(f) for f in found], pa.int64()), pa.array([class_of(f) for f in found], pa.int64())], ["id", "n", "class"])
+        return pa.RecordBatch.from_arrays([ids, pa.array([len(f) for f in found], pa.int64()), pa.array([class_of(f) for f in found], pa.int64())], ["id", "n", "class"])
 
     told = materialise(_per_text(source, f"id {id_type}, n long, class long", sized), "sizes")
     n_documents, largest = told.agg(F.count("*"), F.max("n")).head()

@@ -55,7 +55,8 @@ def boilerplate_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_varied: float = 0.5, margin: float = 0.1) -> DataFrame:
     """``df`` with the boilerplate taken out of the text column, and two more columns: ``n_lines`` and
-    ``n_removed``. Every row stays, also where no line does."""
+    ``n_removed`` (columns of these names are replaced). Every row stays, also where no line does."""
+    df = df.drop("n_lines", "n_removed")
     remove = boilerplate_lines(df, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_varied=min_varied, margin=margin)
     hits = _lines(narrow(df, id=id_col, text=text_col, site=site_col)).join(remove, "line", "left_semi")
     marks = hits.groupBy("id", "digest").agg(F.collect_set("at").alias("marks")).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("marks").alias("__marks"))
