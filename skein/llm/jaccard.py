@@ -18,9 +18,9 @@ common group exists.
 The boundary between the two is where the enumeration of subsets would cost more than the lists, summed over the
 sizes that the corpus has.
 
-Lists become edges to a pivot of each list, which are verified on the whole sets; pairs of a list that are not yet in
-one component afterwards are verified in turn, so a group of n near copies costs about n verifications and no
-link is lost. Nothing is capped or sampled. Hot keys: list minima are aggregated partially before their shuffle, the
+Lists become edges to a pivot of each list, which are verified on the whole sets. Pairs of a list that are not in one
+component afterwards are found through their differences from that pivot, which are small, and verified in turn, so a
+group of n near copies costs about n verifications and no link is lost. Nothing is capped or sampled. Hot keys: list minima are aggregated partially before their shuffle, the
 joins are plain equi-joins, which adaptive execution splits; driver and broadcasts hold the size histogram (64 rows)
 and the frequent shingles (``max_frequent`` at most; fewer of them change costs, not results).
 
@@ -336,12 +336,8 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = components(links) if more.limit(1).count() else joined
 
     # pairs of a list that are in different components yet, neither being its pivot
-    heavy = members.where(F.col("kind") == HEAVY).select("list", "class")
-    held = heavy.distinct().join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed_lists = held.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("list")
-    open_lists = materialise(held.join(mixed_lists, "list", "left_semi"), "open_lists")
-    other = open_lists.select("list", F.col("class").alias("b"), F.col("component").alias("other"))
-    left = open_lists.join(other, "list").where("class < b and component <> other").select(F.col("class").alias("a"), "b").distinct()
+    star = members.where((F.col("kind") == HEAVY) & (F.col("pivot") != F.col("class"))).select("pivot", "class").distinct()
+    left = _unsettled(star, joined, sets, t)
     last = materialise(_linked(left.join(edges.select("a", "b"), ["a", "b"], "left_anti"), sets, t), "links")
     if last.limit(1).count():
         joined = components(links.unionAll(last))
@@ -353,6 +349,44 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return linked.unionAll(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _unsettled(star: DataFrame, joined: DataFrame, sets: DataFrame, t: Similarity) -> DataFrame:
+    """The pairs (a, b) around a pivot that may link, in different components; none that links is left out.
+
+    A member x differs from its pivot in d(x) shingles. Two members' symmetric difference is d(a) + d(b) less twice
+    what their differences have in common, so a link needs a common part of at least (d(a) + d(b) - D) / 2; if that is
+    nothing, both link with the pivot and are settled. What only one member around the pivot has in its difference,
+    u(x) shingles, is in no common part. Hence a link has u(a) + u(b) <= D, and one of the two has u <= D / 2; and as
+    many rarest shingles of the other common ones as leave less than the least overlap suffice to meet.
+    """
+    labels = joined.withColumnRenamed("node", "class")
+    at_pivot = joined.select(F.col("node").alias("pivot"), F.col("component").alias("of_pivot"))
+    told = star.join(labels, "class", "left").join(at_pivot, "pivot", "left").withColumn("component", F.coalesce("component", "class")).withColumn("of_pivot", F.coalesce("of_pivot", "pivot"))
+    ends = told.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    told = told.join(ends.where("low <> high").select("pivot"), "pivot", "left_semi")
+    centre = sets.select(F.col("class").alias("pivot"), F.col("shingles").alias("of_centre"))
+    own = told.join(sets, "class").join(centre, "pivot")
+    diff = F.concat(F.array_except("shingles", "of_centre"), F.array_except("of_centre", "shingles"))
+    own = materialise(own.select("pivot", "class", "component", F.size("shingles").alias("n"), diff.alias("diff")), "differences")
+    most = F.floor((F.col("n") + F.floor(F.col("n") * t.den / t.num)) * (t.den - t.num) / (t.den + t.num))
+    own = own.withColumn("d", F.size("diff")).withColumn("most", most)
+    each = own.select("pivot", "class", F.explode("diff").alias("shingle"))
+    often = each.groupBy("pivot", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    common = each.join(often, ["pivot", "shingle"])
+    counts = common.groupBy("pivot", "class").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("common"))
+    least = F.greatest(F.lit(1), F.col("d") - F.col("most"))
+    held = own.drop("diff").join(counts, ["pivot", "class"]).withColumn("u", F.col("d") - F.size("common")).where("u <= most")
+    held = held.withColumn("meet", F.slice("common", F.lit(1), F.greatest(F.lit(0), F.size("common") - least + 1).cast("int"))).drop("common")
+    held = materialise(held.select("pivot", "class", "component", "n", "d", "u", (F.col("u") * 2 <= F.col("most")).alias("light"), F.explode("meet.shingle").alias("shingle")), "meeting")
+    a = held.where("light").select("pivot", "shingle", F.col("class").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("u").alias("ua"))
+    b = held.select("pivot", "shingle", F.col("class").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("u").alias("ub"), "light")
+    limit = F.floor((F.col("na") + F.col("nb")) * (t.den - t.num) / (t.den + t.num))
+    may = (F.col("of_a") != F.col("of_b")) & (~F.col("light") | (F.col("a") < F.col("b")))
+    may &= (F.col("ua") + F.col("ub") <= limit) & (F.col("da") + 2 * F.col("ub") - F.col("db") <= limit) & (F.col("db") + 2 * F.col("ua") - F.col("da") <= limit)
+    on = (F.col("pivot") == F.col("centre")) & (F.col("shingle") == F.col("other"))
+    met = a.join(b.withColumnRenamed("pivot", "centre").withColumnRenamed("shingle", "other"), on & may)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _across(edges: DataFrame, joined: DataFrame) -> DataFrame:
     """The edges between different components; a class without a component is its own."""
     a = joined.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
