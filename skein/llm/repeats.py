@@ -253,8 +253,10 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     ["anchor", "salt", "salts", "segment", "key", "starts"],
                 )
 
-    # a text that stands twice would give its runs twice; they are one occurrence
-    segments = texts.dropDuplicates(["key"]).mapInArrow(cut, "anchor long, salt int, salts int, segment binary, key binary, starts array<int>")
+    # a row that stands twice, id and all, would give its runs twice; only then the texts are dealt once more
+    if told.groupBy("key", "id").count().where("count > 1").limit(1).count():
+        texts = materialise(texts.dropDuplicates(["key"]), "texts")
+    segments = texts.mapInArrow(cut, "anchor long, salt int, salts int, segment binary, key binary, starts array<int>")
     settled = segments.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_settle(length), "key binary, begin int, end int, window long")
     settled = materialise(settled, "settled")
     open_ = settled.where("window is not null").select("key", "begin", "window")
@@ -285,7 +287,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 kept.append(left if keep_text else None)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())], ["key", "removed", "count", "left", "kept"])
 
-    cuts = texts.select("key", "text").dropDuplicates(["key"]).join(spans, "key").mapInArrow(take, "key binary, removed long, count long, left string, kept binary")
+    cuts = texts.select("key", "text").join(spans, "key").mapInArrow(take, "key binary, removed long, count long, left string, kept binary")
     out = told.select("id", "n", "key", "digest").join(copies.where("copies > 1").select("key", "copies"), "key", "left").join(cuts, "key", "left")
     if keep_text:
         out = out.join(source.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), F.col("text").cast("binary").alias("whole")).dropDuplicates(["key"]), "key", "left")
