@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ def brute_bits(texts, text, order=langid.ORDER):
             for k in range(order + 1):
                 counts[data[i - k : i], data[i]] += 1
 
+    @lru_cache(None)
     def probability(context, byte):
         own = {b: counts[context, b] for b in range(256) if counts[context, b]}
         if not context:
