@@ -113,6 +113,16 @@ def window_runs(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.array(anchors, np.uint64), np.array(lows, np.int32), np.array(highs, np.int32)
 
 
+def by_anchor(anchors: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple[list[int], list[list[int]], list[list[int]]]:
+    """The runs of a text under its distinct anchors; a text that repeats itself has few of these."""
+    found: dict[int, tuple[list[int], list[int]]] = {}
+    for a, low, high in zip(anchors.view(np.int64).tolist(), lows.tolist(), highs.tolist(), strict=True):
+        held = found.setdefault(a, ([], []))
+        held[0].append(low)
+        held[1].append(high)
+    return list(found), [x for x, _ in found.values()], [x for _, x in found.values()]
+
+
 def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
     """[first, last] of the runs of true values."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -215,24 +225,24 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             n, keys, digests, anchors, lows, highs = [], [], [], [], [], []
             for value in batch.column("text"):
                 data = value.as_py().encode()
-                a, b, c = window_runs(data, length)
+                a, b, c = by_anchor(*window_runs(data, length))
                 n.append(len(data))
                 keys.append(hashlib.md5(data).digest())
                 digests.append(hashlib.sha256(data).hexdigest())
-                anchors.append(a.view(np.int64))
+                anchors.append(a)
                 lows.append(b)
                 highs.append(c)
-            arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests), pa.array(anchors, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int32())), pa.array(highs, pa.list_(pa.int32()))]
+            places = pa.list_(pa.list_(pa.int32()))
+            arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests), pa.array(anchors, pa.list_(pa.int64())), pa.array(lows, places), pa.array(highs, places)]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "key", "digest", "anchor", "low", "high"])
 
-    told = materialise(source.mapInArrow(anchor, f"id {id_type}, n long, key binary, digest string, anchor array<long>, low array<int>, high array<int>"), "runs")
+    told = materialise(source.mapInArrow(anchor, f"id {id_type}, n long, key binary, digest string, anchor array<long>, low array<array<int>>, high array<array<int>>"), "runs")
     copies = materialise(told.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("one")), "copies")
 
     # the runs of one of each text, and the anchors that occur more than once
     single = told.select("id", "key", "anchor", "low", "high").join(copies, "key").where(F.col("id").eqNullSafe(F.col("one"))).dropDuplicates(["key"])
     runs = single.select("key", "id", F.inline(F.arrays_zip("anchor", "low", "high")))
-    place = F.xxhash64("key", "low")
-    often = runs.groupBy("anchor").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("times")).where("first <> last")
+    often = runs.groupBy("anchor").agg(F.sum(F.size("low")).alias("times")).where("times > 1")
     salts = often.select("anchor", F.ceil(F.col("times") / chunk).cast("int").alias("salts"))
     hits = runs.join(salts, "anchor").groupBy("key", "id").agg(F.collect_list(F.struct("anchor", "low", "high", "salts")).alias("hits"))
     texts = source.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
@@ -245,7 +255,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 data = text.as_py().encode()
                 found: dict[tuple, list[int]] = {}
                 for h in hits.as_py():
-                    found.setdefault((h["anchor"], h["salts"], data[h["low"] : h["high"] + length]), []).append(h["low"])
+                    for low, high in zip(h["low"], h["high"], strict=True):
+                        found.setdefault((h["anchor"], h["salts"], data[low : high + length]), []).append(low)
                 salt = xxhash.xxh3_64_intdigest(key)
                 anchors, salts, segments = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
