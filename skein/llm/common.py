@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,13 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: ``spark.checkpoint.dir``; where it is unset, as in tests, a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="skein-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="skein-shared-")
+        atexit.register(shutil.rmtree, _own_dirs[app], True)
+    return _own_dirs[app]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` into the shared folder, whether the context knows it yet or not."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 _written: set[str] = set()
@@ -45,16 +60,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Remove the files behind a table that ``materialise`` returned, once nothing reads it any more."""
-    for file in df.inputFiles():
-        path = file.rsplit("/", 1)[0]
-        known = next((x for x in _written if path.endswith(x.split(":", 1)[-1])), None)
-        if known:
-            _remove(df.sparkSession, known)
-            return
-
-
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under private names, so that further columns, however called, cannot clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
