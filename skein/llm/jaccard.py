@@ -11,9 +11,9 @@ Heavy: for large sets subsets are too many, and inverted lists are scanned. With
 at most D = (a + b)(1 - t) / (1 + t) shingles. The shingles are dealt by hash into D + 1 + e groups for a class of
 sizes, so 1 + e groups at least hold the same shingles in both sets, and a list has the sets that have a certain
 group, whole. Lists of single shingles would hold a third of the corpus where a passage is that common; a group seldom
-does. A group is weak if it has too few shingles that are not frequent in the corpus; a set lists its weak groups
-only if it has more than e of them: of two sets that both have more, all groups are compared; otherwise a strong
-common group exists.
+does. Each set leaves out its e weakest groups, those with the fewest shingles that are not frequent in the corpus, then
+the fewest shingles. The order depends on a group's content only, so the strongest group that two sets have in common
+is left out by neither: 1 + e common groups are not all among the e weakest.
 
 The boundary between the two is where the enumeration of subsets would cost more than the lists, summed over the
 sizes that the corpus has.
@@ -51,6 +51,8 @@ LIGHT_LIMIT = 64
 GROWTH = 1.5
 #: Orders in which the pivot of a list is picked, so that a set meets several pivots.
 ORDERS = 4
+#: A list that may be long passes the first exchange in so many parts; a power of two.
+SALTS = 64
 MEMO_ENTRIES = 300_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -124,16 +126,12 @@ class SizeClass:
     high: int
     groups: int
     spare: int
-    strong: int
 
 
 def _size_class(label: int, low: int, high: int, difference: int) -> SizeClass:
     needed = difference + 1
-    mean = low / needed
-    strong = max(1, int(mean / 3))
-    few = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(strong))
-    spare = math.ceil(needed * min(0.5, 1.5 * few)) + 1
-    return SizeClass(label, low, high, needed + spare, spare, strong)
+    spare = math.ceil(needed * (0.15 if low / needed > 5 else 0.3))
+    return SizeClass(label, low, high, needed + spare, spare)
 
 
 def size_classes(boundary: int, largest: int, t: Similarity) -> list[SizeClass]:
@@ -184,8 +182,9 @@ def class_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes(), seed=len(found)) - (1 << 63)
 
 
-#: Kinds of a list entry: of a heavy set; of a light set with the pair's smaller size; with its larger.
-HEAVY, LIGHT_LESS, LIGHT_MORE = 0, 1, 2
+#: Kinds of a list entry: of a heavy set, its group with shingles that are not frequent, or without; of a light set
+#: with the pair's smaller size, or with its larger.
+HEAVY, LIGHT_LESS, LIGHT_MORE, COMMON = 0, 1, 2, 3
 
 
 def list_entries(found: np.ndarray, t: Similarity, boundary: int, classes: list[SizeClass], frequent: np.ndarray) -> tuple[np.ndarray, int | np.ndarray]:
@@ -212,12 +211,12 @@ def list_entries(found: np.ndarray, t: Similarity, boundary: int, classes: list[
             rare = np.ones(n)
         for c in concerned:
             group = (found % np.uint64(c.groups)).astype(np.int64)
-            strong = np.bincount(group, weights=rare, minlength=c.groups) >= c.strong
+            rares, sizes = (np.bincount(group, weights=w, minlength=c.groups) for w in (rare, None))
             sums = np.bincount(group, weights=low, minlength=c.groups).astype(np.uint64) + (np.bincount(group, weights=high, minlength=c.groups).astype(np.uint64) << np.uint64(32))
             key = mixed(sums ^ mixed(np.arange(c.groups, dtype=np.uint64) + np.uint64((c.label + 1) << 32)))
-            key = key if c.groups - strong.sum() > c.spare else key[strong]
-            keys.append(key)
-            kinds.append(np.full(len(key), HEAVY, np.int8))
+            kept = np.lexsort((key, sizes, np.minimum(rares, 3)))[c.spare :]
+            keys.append(key[kept])
+            kinds.append(np.where(rares[kept] > 0, HEAVY, COMMON).astype(np.int8))
     return (np.concatenate(keys), np.concatenate(kinds)) if keys else (np.empty(0, np.uint64), HEAVY)
 
 
@@ -233,36 +232,70 @@ def _per_text(df: DataFrame, schema: str, rows_of) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _frequent_shingles(source: DataFrame, words: int, max_frequent: int, n_documents: int) -> np.ndarray:
+def _frequent_shingles(source: DataFrame, words: int, max_frequent: int) -> np.ndarray:
     """The shingles frequent in the corpus, sorted: each task counts all of its texts and reports those that are
-    frequent there; the sums decide. At most ``max_frequent``, which bounds what is broadcast."""
+    repeated there; the sums decide. At most ``max_frequent``, which bounds what is broadcast."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = texts = 0
+        size = 0
 
         def flush():
             values, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(3, texts // 2000)
+            often = n >= 2
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["shingle", "n"])
 
         for batch in batches:
             for value in batch.column("text"):
                 held.append(shingles(value.as_py(), words))
                 size += len(held[-1])
-                texts += 1
                 if size > 4_000_000:
                     yield flush()
-                    held, size, texts = [], 0, 0
+                    held, size = [], 0
         if held:
             yield flush()
 
-    least = max(8, n_documents // 1000)
+    least = 4
     counts = source.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     rows = counts.orderBy(F.desc("n"), "shingle").limit(max_frequent).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
     return np.sort(rows.view(np.uint64))
 
 
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries in the order of their lists -> members of the short lists with two classes at least and their pivot; the
+    other entries pass through without one."""
+    held: list[np.ndarray] = []
+
+    def members(lists: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
+        salt = mixed(lists.view(np.uint64) % np.uint64(ORDERS) + np.uint64(1))
+        order = np.lexsort((mixed(classes.view(np.uint64) ^ salt), lists))
+        lists, classes = lists[order], classes[order]
+        first = np.append(True, lists[1:] != lists[:-1])
+        begins = np.flatnonzero(first)
+        sizes = np.diff(np.append(begins, len(lists)))
+        several = np.maximum.reduceat(classes, begins) != np.minimum.reduceat(classes, begins)
+        kept = np.repeat(several, sizes)
+        return out(lists[kept], classes[kept], np.full(int(kept.sum()), HEAVY, np.int8), pa.array(np.repeat(classes[begins], sizes)[kept]))
+
+    def out(lists, classes, kinds, pivots) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lists), pa.array(classes), pa.array(kinds), pivots], ["list", "class", "kind", "pivot"])
+
+    for batch in batches:
+        lists, classes, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "class", "kind"))
+        short = kinds == HEAVY
+        yield out(lists[~short], classes[~short], kinds[~short], pa.nulls(int((~short).sum()), pa.int64()))
+        lists, classes = lists[short], classes[short]
+        if held:
+            lists, classes = np.concatenate([held[0], lists]), np.concatenate([held[1], classes])
+        if len(lists):
+            cut = np.searchsorted(lists, lists[-1])  # the last list may go on in the next batch
+            if cut:
+                yield members(lists[:cut], classes[:cut])
+            held = [lists[cut:], classes[cut:]]
+    if held and len(held[0]):
+        yield members(*held)
+
+
 def _linked(edges: DataFrame, sets: DataFrame, t: Similarity) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a"))
@@ -273,7 +306,7 @@ def _linked(edges: DataFrame, sets: DataFrame, t: Similarity) -> DataFrame:
     return pairs.withColumn("common", common).where(F.col("common") * t.den >= union * t.num).select("a", "b")
 
 
-def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, max_frequent: int = 400_000) -> DataFrame:
+def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, max_frequent: int = 1_000_000) -> DataFrame:
     """Per row: ``id_col``, ``n_shingles`` and ``component_id``, the smallest id reachable by links J >= num / den."""
     spark, t = df.sparkSession, Similarity(num, den)
     source = narrow(df, id=id_col, text=text_col)
@@ -284,11 +317,11 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return pa.RecordBatch.from_arrays([ids, pa.array([len(f) for f in found], pa.int64()), pa.array([class_of(f) for f in found], pa.int64())], ["id", "n", "class"])
 
     told = materialise(_per_text(source, f"id {id_type}, n long, class long", sized), "sizes")
-    n_documents, largest = told.agg(F.count("*"), F.max("n")).head()
+    largest = told.agg(F.max("n")).head()[0]
     sizes = dict(map(tuple, told.where(F.col("n") < LIGHT_LIMIT).groupBy("n").count().collect()))  # 64 rows at most
     boundary = choose_boundary(sizes, t)
     classes = size_classes(boundary, largest or 0, t)
-    frequent = spark.sparkContext.broadcast(_frequent_shingles(source, words, max_frequent, n_documents))
+    frequent = spark.sparkContext.broadcast(_frequent_shingles(source, words, max_frequent))
 
     def entries(ids, texts):
         keys, owners, kinds = [], [], []
@@ -301,15 +334,22 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 kinds.append(kind)
         if not keys:
             keys, owners, kinds = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int8)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(kinds).astype(np.int8))], ["list", "class", "kind"])
-
-    lists = materialise(_per_text(source.where("id is not null"), "list long, class long, kind byte", entries), "lists")
+        key, owner, kind = np.concatenate(keys), np.concatenate(owners), np.concatenate(kinds).astype(np.int8)
+        salt = np.where(kind == HEAVY, 0, owner & SALTS - 1).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner), pa.array(kind), pa.array(salt)], ["list", "class", "kind", "salt"])
+
+    # lists of groups that hold a rare shingle are short and meet in one exchange; the others, which may be as long as a
+    # hot group of documents, pass through it spread by a salt and meet by partial aggregation
+    lists = _per_text(source.where("id is not null"), "list long, class long, kind byte, salt byte", entries)
+    met = materialise(lists.repartition("list", "salt").sortWithinPartitions("list").mapInArrow(_meet, "list long, class long, kind byte, pivot long"), "met")
+    open_ = met.where("pivot is null").drop("pivot")
     order = F.xxhash64(F.pmod("list", F.lit(ORDERS)))
-    placed = lists.withColumn("at", F.col("class").bitwiseXOR(order))
+    placed = open_.withColumn("at", F.col("class").bitwiseXOR(order))
     ends = placed.groupBy("list").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min(F.when(F.col("kind") != LIGHT_MORE, F.col("at"))).alias("pivot"))
     shared = ends.where("first <> last and pivot is not null").select("list", F.col("pivot").bitwiseXOR(order).alias("pivot"))
-    members = materialise(lists.join(shared, "list"), "members")
-    edges = members.where("pivot <> class").groupBy(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).agg(F.count("*").alias("times"))
+    members = met.where("pivot is not null").select("pivot", "class", "kind").unionAll(open_.join(shared, "list").select("pivot", "class", "kind"))
+    members = materialise(members.where("pivot <> class").groupBy("pivot", "class").agg(F.count("*").alias("times"), F.max(F.col("kind").isin(HEAVY, COMMON)).alias("heavy")), "members")
+    edges = members.groupBy(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).agg(F.sum("times").alias("times"))
     edges = materialise(edges, "edges")
 
     # the sets of the classes that have an edge, from one document each
@@ -336,7 +376,7 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = components(links) if more.limit(1).count() else joined
 
     # pairs of a list that are in different components yet, neither being its pivot
-    star = members.where((F.col("kind") == HEAVY) & (F.col("pivot") != F.col("class"))).select("pivot", "class").distinct()
+    star = members.where("heavy").select("pivot", "class")
     left = _unsettled(star, joined, sets, t)
     last = materialise(_linked(left.join(edges.select("a", "b"), ["a", "b"], "left_anti"), sets, t), "links")
     if last.limit(1).count():
@@ -369,10 +409,12 @@ def _unsettled(star: DataFrame, joined: DataFrame, sets: DataFrame, t: Similarit
     own = materialise(own.select("pivot", "class", "component", F.size("shingles").alias("n"), diff.alias("diff")), "differences")
     most = F.floor((F.col("n") + F.floor(F.col("n") * t.den / t.num)) * (t.den - t.num) / (t.den + t.num))
     own = own.withColumn("d", F.size("diff")).withColumn("most", most)
-    each = own.select("pivot", "class", F.explode("diff").alias("shingle"))
-    often = each.groupBy("pivot", "shingle").agg(F.count("*").alias("times")).where("times > 1")
-    common = each.join(often, ["pivot", "shingle"])
-    counts = common.groupBy("pivot", "class").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("common"))
+    # members whose differences are their own already in one half of the hashes need no look at the other half
+    half = _common_part(own.withColumn("diff", F.filter("diff", lambda x: x.bitwiseAND(F.lit(1)) == 0)))
+    half = own.select("pivot", "class", "most", F.size(F.filter("diff", lambda x: x.bitwiseAND(F.lit(1)) == 0)).alias("all")).join(half, ["pivot", "class"], "left")
+    near = half.where(F.col("all") - F.coalesce(F.size("common"), F.lit(0)) <= F.col("most")).select("pivot", "class")
+    own = materialise(own.join(near, ["pivot", "class"], "left_semi"), "differences")
+    counts = _common_part(own)
     least = F.greatest(F.lit(1), F.col("d") - F.col("most"))
     held = own.drop("diff").join(counts, ["pivot", "class"]).withColumn("u", F.col("d") - F.size("common")).where("u <= most")
     held = held.withColumn("meet", F.slice("common", F.lit(1), F.greatest(F.lit(0), F.size("common") - least + 1).cast("int"))).drop("common")
@@ -387,6 +429,13 @@ def _unsettled(star: DataFrame, joined: DataFrame, sets: DataFrame, t: Similarit
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _common_part(own: DataFrame) -> DataFrame:
+    """(pivot, class, common): what a member's difference has in common with other members', rarest first."""
+    each = own.select("pivot", "class", F.explode("diff").alias("shingle"))
+    often = each.groupBy("pivot", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    return each.join(often, ["pivot", "shingle"]).groupBy("pivot", "class").agg(F.array_sort(F.collect_list(F.struct("times", "shingle"))).alias("common"))
+
+
 def _across(edges: DataFrame, joined: DataFrame) -> DataFrame:
     """The edges between different components; a class without a component is its own."""
     a = joined.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
