@@ -32,6 +32,8 @@ WORDS, SHAPES = 1024, 256
 FEATURES = WORDS + SHAPES
 HIDDEN, GATE = 16, 8
 MEMO_ENTRIES = 300_000
+#: Documents of a learning step, and how many steps a fit takes at least, however few documents there are.
+BATCH, LEAST_STEPS = 64, 300
 #: Words that are encoded at once.
 SLICE = 1 << 17
 
@@ -138,7 +140,7 @@ class AttentionModel:
         dp = dh * (1 - h * h)
         return {"E": x.T @ dp, "D": dense.T @ dp, "b": dp.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ dl, "c": z.T @ dy, "d": dy.sum(keepdims=True)}
 
-    def train(self, documents: list[np.ndarray], labels: np.ndarray, *, epochs: int, rate: float, seed: int, batch: int = 64) -> None:
+    def train(self, documents: list[np.ndarray], labels: np.ndarray, *, epochs: int, rate: float, seed: int, batch: int = BATCH) -> None:
         """Adam over shuffled batches; ``documents`` are arrays of word codes."""
         r = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
@@ -192,6 +194,7 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     if not len(truth) or truth.min() == truth.max():
         return None
     model = AttentionModel.fresh(seed)
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(sample) // BATCH)))
     model.train([np.array(r["codes"], np.int32) for r in sample], truth, epochs=epochs, rate=rate, seed=seed)
     return model
 
