@@ -417,13 +417,15 @@ def _unsettled(star: DataFrame, joined: DataFrame, sets: DataFrame, t: Similarit
     counts = _common_part(own)
     least = F.greatest(F.lit(1), F.col("d") - F.col("most"))
     held = own.drop("diff").join(counts, ["pivot", "class"]).withColumn("u", F.col("d") - F.size("common")).where("u <= most")
-    held = held.withColumn("meet", F.slice("common", F.lit(1), F.greatest(F.lit(0), F.size("common") - least + 1).cast("int"))).drop("common")
-    held = materialise(held.select("pivot", "class", "component", "n", "d", "u", (F.col("u") * 2 <= F.col("most")).alias("light"), F.explode("meet.shingle").alias("shingle")), "meeting")
-    a = held.where("light").select("pivot", "shingle", F.col("class").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("u").alias("ua"))
-    b = held.select("pivot", "shingle", F.col("class").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("u").alias("ub"), "light")
+    held = held.withColumn("shared", F.size("common")).withColumn("meet", F.slice("common", F.lit(1), F.greatest(F.lit(0), F.size("common") - least + 1).cast("int"))).drop("common")
+    held = materialise(held.select("pivot", "class", "component", "n", "d", "u", (F.col("u") * 2 <= F.col("most")).alias("light"), "shared", F.posexplode("meet.shingle").alias("at", "shingle")).withColumn("left", F.col("shared") - F.col("at")), "meeting")
+    a = held.where("light").select("pivot", "shingle", F.col("class").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("u").alias("ua"), F.col("left").alias("la"))
+    b = held.select("pivot", "shingle", F.col("class").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("u").alias("ub"), F.col("left").alias("lb"), "light")
     limit = F.floor((F.col("na") + F.col("nb")) * (t.den - t.num) / (t.den + t.num))
     may = (F.col("of_a") != F.col("of_b")) & (~F.col("light") | (F.col("a") < F.col("b")))
     may &= (F.col("ua") + F.col("ub") <= limit) & (F.col("da") + 2 * F.col("ub") - F.col("db") <= limit) & (F.col("db") + 2 * F.col("ua") - F.col("da") <= limit)
+    # at the first shingle that two have in common, what is left of either has to hold the whole least overlap
+    may &= 2 * F.least("la", "lb") >= F.col("da") + F.col("db") - limit
     on = (F.col("pivot") == F.col("centre")) & (F.col("shingle") == F.col("other"))
     met = a.join(b.withColumnRenamed("pivot", "centre").withColumnRenamed("shingle", "other"), on & may)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
