@@ -21,8 +21,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go out of the texts; every document stays."""
-    cut = lines.dedup_lines(docs)
+    """Boilerplate lines go out of the texts, judged by whole sites and texts; every document stays."""
+    cut = lines.dedup_lines(docs, whole_texts=True)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -8,6 +8,13 @@ each surrounding (the lines before and after) is first brought down to one row w
 boilerplate only if at least ``min_varied`` of its occurrences have surroundings of their own; this keeps the lines
 of copied documents, which are for document dedup to judge.
 
+That is the rule of the registered query, whose SQL defines it. It keeps the inner lines of a block of boilerplate,
+as their neighbours repeat, and sees one site of each surrounding. ``spread_lines`` is the rule without these limits,
+for callers without such a contract: a line goes if it stands on ``min_sites`` sites, all counted, and in that many
+independent texts. A text is independent if other texts have half of its runs of three words at most, by a sample of
+its ``SKETCH`` smallest hashes of runs. Exact copies thus tell as one text and near copies not at all; nor do they
+speak against a line that other texts show to be boilerplate.
+
 Only hashes travel: the lines' text is read again in the last pass, where each document gets the list of its
 positions to remove. Skew: every aggregation is partial before its shuffle, a line that stands in a third of all rows
 is one row a task by then; the joins are on surroundings or documents' keys or against the list of boilerplate.
@@ -21,10 +28,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import materialise, narrow
 
 #: log2 of the registers of a sketch: a standard error of about 1.6 %.
 LOG_K = 12
+#: Runs of words in the sample of a text.
+SKETCH = 32
 
 
 def _lines(source: DataFrame) -> DataFrame:
@@ -53,11 +62,41 @@ def boilerplate_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return sure.unionAll(exact)
 
 
-def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_varied: float = 0.5, margin: float = 0.1) -> DataFrame:
+def _independent(source: DataFrame) -> DataFrame:
+    """``text``: the hashes of the texts that do not consist of runs of words of other texts for the greater part."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    runs = F.transform("words", lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)))
+    texts = source.where("text is not null").select(F.xxhash64(F.sha2("text", 256)).alias("text"), words.alias("words"))
+    sketches = texts.select("text", F.slice(F.array_sort(F.array_distinct(runs)), 1, SKETCH).alias("runs"))
+    each = materialise(sketches.groupBy("text").agg(F.any_value("runs").alias("runs")), "sketches").select("text", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    ends = each.groupBy("run").agg(F.min("text").alias("first"), F.max("text").alias("last"))
+    own = each.join(ends.where("first = last").select("run"), "run", "left_semi")
+    return own.groupBy("text", "n").count().where(F.col("count") * 2 >= F.col("n")).select("text")
+
+
+def spread_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, margin: float = 0.1) -> DataFrame:
+    """``line``: the hashes of the lines to remove by whole sites and whole texts."""
+    source = narrow(df, id=id_col, text=text_col, site=site_col).where("site is not null")
+    lines = _lines(source)
+    frequent = lines.groupBy("line").count().where(F.col("count") >= min_sites).select("line")
+    sites = lines.select("line", "site").join(frequent, "line", "left_semi")
+    spread = sites.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_K)).alias("spread"))
+    sure = spread.where(F.col("spread") > min_sites * (1 + margin)).select("line")
+    near = spread.where(F.col("spread").between(min_sites * (1 - margin), min_sites * (1 + margin))).select("line")
+    exact = sites.join(near, "line", "left_semi").distinct().groupBy("line").count().where(F.col("count") >= min_sites).select("line")
+    wide = materialise(sure.unionAll(exact), "wide-lines")
+    hits = lines.join(wide, "line", "left_semi").select(F.xxhash64("digest").alias("text"), "line").distinct()
+    told = hits.join(_independent(source), "text", "left_semi")
+    return told.groupBy("line").count().where(F.col("count") >= min_sites).select("line")
+
+
+def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_varied: float = 0.5, margin: float = 0.1, whole_texts: bool = False) -> DataFrame:
     """``df`` with the boilerplate taken out of the text column, and two more columns: ``n_lines`` and
-    ``n_removed`` (columns of these names are replaced). Every row stays, also where no line does."""
+    ``n_removed`` (columns of these names are replaced). Every row stays, also where no line does. ``whole_texts``:
+    by ``spread_lines``, to which ``min_varied`` means nothing."""
     df = df.drop("n_lines", "n_removed")
-    remove = boilerplate_lines(df, id_col=id_col, text_col=text_col, site_col=site_col, min_sites=min_sites, min_varied=min_varied, margin=margin)
+    columns = {"id_col": id_col, "text_col": text_col, "site_col": site_col, "min_sites": min_sites, "margin": margin}
+    remove = spread_lines(df, **columns) if whole_texts else boilerplate_lines(df, **columns, min_varied=min_varied)
     hits = _lines(narrow(df, id=id_col, text=text_col, site=site_col)).join(remove, "line", "left_semi")
     marks = hits.groupBy("id", "digest").agg(F.collect_set("at").alias("marks")).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("marks").alias("__marks"))
     text = F.col(f"`{text_col}`")

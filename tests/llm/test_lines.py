@@ -2,6 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from skein.llm import lines
 
 SCHEMA = "doc_id long, text string, source string, n_lines string, line string, id int"
@@ -61,3 +62,30 @@ def test_native(spark):
     plan = lines.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert lines.dedup_lines(df.withColumn("source", F.lit(None).cast("string"))).first()["text"] == "a\nb"
+
+
+def whole(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    return {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+
+
+def body(i):
+    return "\n".join(" ".join(f"w{i}x{k}" for k in range(at, at + 12)) for at in (0, 12))
+
+
+def test_blocks_go_whole(spark):
+    rows = [(i, f"head 1\nhead 2\nhead 3\n{body(i)}\nfoot 1\nfoot 2\nfoot 3", f"s{i % 12}") for i in range(24)]
+    assert whole(spark, rows) == {i: body(i) for i in range(24)}
+
+
+def test_copies_keep_their_lines_and_have_no_veto(spark):
+    rows = [(i, f"Subscribe now!\n{body(i)}", f"s{i % 12}") for i in range(24)]
+    rows += [(100 + i, f"Subscribe now!\n{body('copied')}", f"s{i % 12}") for i in range(400)]
+    near = [[f"n{line}w{k}" for k in range(12)] for line in range(12)]
+    for i in range(200):  # most lines are edited in some copy, the short one in none
+        text = [" ".join(x) if (i + k) % 3 else " ".join([*x[:6], f"edit{i}", *x[7:]]) for k, x in enumerate(near)]
+        rows.append((1000 + i, "\n".join([*text[:4], "short line", *text[4:]]), f"s{i % 12}"))
+    got = whole(spark, rows)
+    assert all(got[i] == body(i) for i in range(24))
+    assert all(got[100 + i] == body("copied") for i in range(400))
+    assert all(got[i] == text for i, text, _ in rows if i >= 1000)
