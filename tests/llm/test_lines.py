@@ -89,3 +89,12 @@ def test_copies_keep_their_lines_and_have_no_veto(spark):
     assert all(got[i] == body(i) for i in range(24))
     assert all(got[100 + i] == body("copied") for i in range(400))
     assert all(got[i] == text for i, text, _ in rows if i >= 1000)
+
+
+def test_all_sites_count(spark):
+    rows = []
+    for i in range(24):  # the hot site "a" has the same neighbours as each other site
+        rows += [(2 * i + k, f"before {i}\nAnd with.\nafter {i}\n{body(f'{i}y{k}')}", f"s{i % 9}" if k else "a") for k in (0, 1)]
+    assert all("And with." not in text for text in whole(spark, rows).values())
+    rows = [(i, f"And with.\n{body(i)}", f"s{i % 9}") for i in range(48)]
+    assert all("And with." in text for text in whole(spark, rows).values())
