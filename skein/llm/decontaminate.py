@@ -8,8 +8,10 @@ Letters are compared in lower case and any white space as one space.
 The documents are read in one narrow pass for each block of items (``block_chars`` bounds what a block broadcasts;
 a larger benchmark takes more passes). Texts are whole, hits are never capped.
 
-Defined results: null or empty texts match nothing; items that are null or shorter than ``min_chars`` after
-normalising are left out; repeated rows and repeated items give a result each; a pair that matches in several places
+Items shorter than ``min_chars`` after normalising have no error budget and match at word boundaries only: where the
+item begins or ends with a letter or digit, the text has none right before or after.
+
+Defined results: null or empty texts match nothing; items that are null or empty after normalising are left out; repeated rows and repeated items give a result each; a pair that matches in several places
 has one row, the place with the least distance, the first of equals.
 """
 
@@ -88,14 +90,22 @@ def best_match(masks: dict[str, int], m: int, text: str, anchored: bool = False)
     return best, end
 
 
+def at_boundaries(item: str, text: str, begin: int) -> bool:
+    """Whether the item, which stands at ``begin``, is not part of a longer word there."""
+    end = begin + len(item)
+    inner = begin > 0 and item[0].isalnum() and text[begin - 1].isalnum()
+    return not inner and not (end < len(text) and item[-1].isalnum() and text[end].isalnum())
+
+
 class Items:
     """An automaton over the pieces of a block of items, and what verification needs of each."""
 
-    def __init__(self, items: list[tuple[object, str]], error_rate: float):
+    def __init__(self, items: list[tuple[object, str]], error_rate: float, min_chars: int):
         self.items = []
+        self.min_chars = min_chars
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            budget = int(error_rate * len(text))
+            budget = int(error_rate * len(text)) if len(text) >= min_chars else 0
             for offset, piece in pieces(text, budget):
                 found.setdefault(piece, []).append((len(self.items), offset))
             self.items.append((item_id, text, budget, character_masks(text), character_masks(text[::-1])))
@@ -112,6 +122,8 @@ class Items:
             for i, offset in places:
                 _, item, budget, _, _ = self.items[i]
                 begin = last + 1 - size - offset
+                if len(item) < self.min_chars and not at_boundaries(item, plain, begin):
+                    continue
                 a, b = max(0, begin - budget), min(len(plain), begin + len(item) + budget)
                 known = windows.setdefault(i, [])
                 if known and a <= known[-1][1] and a >= known[-1][0]:
@@ -131,14 +143,14 @@ class Items:
                 yield (item_id, distance, *raw_span(text, max(0, end - back), end))
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, min_chars: int, block_chars: int) -> Iterator[list[tuple[object, str]]]:
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
     items = narrow(benchmark, id=item_id, text=item_text).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).head()[0] or 0
     n = -(-total // block_chars)
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
         block = [(r[0], normalised(r[1]).strip()) for r in part.collect()]
-        block = [x for x in block if len(x[1]) >= min_chars]
+        block = [x for x in block if x[1]]
         if block:
             yield block
 
@@ -152,11 +164,11 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     item_type = benchmark.schema[item_id].dataType.simpleString()
     item_arrow = to_arrow_type(benchmark.schema[item_id].dataType)
     out = None
-    for block in _blocks(benchmark, item_id, item_text, min_chars, block_chars):
+    for block in _blocks(benchmark, item_id, item_text, block_chars):
         shared = spark.sparkContext.broadcast(block)  # at most about block_chars characters
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, error_rate)
+            items = Items(shared.value, error_rate, min_chars)
             for batch in batches:
                 rows, hits = [], []
                 for i, value in enumerate(batch.column("text")):
@@ -177,11 +189,11 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.08, min_chars: int = 24, block_chars: int = 8_000_000) -> DataFrame:
     """The rows of ``df``, all columns as they are, in whose text no item is found."""
-    for block in _blocks(benchmark, item_id, item_text, min_chars, block_chars):
+    for block in _blocks(benchmark, item_id, item_text, block_chars):
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, error_rate)
+            items = Items(shared.value, error_rate, min_chars)
             for batch in batches:
                 yield batch.filter(pa.array([next(items.matches(x.as_py() or ""), None) is None for x in batch.column(text_col)], pa.bool_()))
 

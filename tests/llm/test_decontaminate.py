@@ -90,3 +90,12 @@ def test_against_brute_force(spark, case):
     kept = d.drop_leaks(df, bench)
     assert kept.columns == df.columns and kept.count() == sum(i not in leaking for i, _ in docs)
     assert d.find_leaks(df, bench.limit(0)).count() == 0 == d.find_leaks(df.limit(0), bench).count()
+
+
+def test_short_items(spark):
+    texts = ["Who  WROTE it?", "and who wrote it? said", "xwho wrote it?", "who wrote at?", "the cat sat", "concatenate", "cat", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Who wrote it?"), (2, "cat"), (3, " "), (4, None)], "item_id long, text string")
+    got = d.find_leaks(df, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["begin"], r["end"]) for r in got) == [(0, 1, 0, 0, 14), (1, 1, 0, 4, 17), (4, 2, 0, 4, 7), (6, 2, 0, 0, 3)]
+    assert sorted(r["doc_id"] for r in d.drop_leaks(df, bench).collect()) == [2, 3, 5, 7]
