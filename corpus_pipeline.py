@@ -9,6 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from skein.llm import bpe, decontaminate, jaccard, lines, quality
 from skein.llm.common import materialise
@@ -27,9 +28,24 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that similar word shingles link, the one with the smallest id stays."""
-    groups = jaccard.jaccard_components(docs, words=5, num=80, den=100)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Of documents that similar word shingles link, the one with the smallest id stays.
+
+    A row goes by its id and its text: rows that are equal in both are one, of which the row with the least hash of all
+    columns stays; a text under an id that another text has, too, is judged by itself, the least hash first; rows without
+    an id come after all others. Texts without words are linked to nothing.
+    """
+    id_type = docs.schema["doc_id"].dataType
+    absent = F.lit(0 if isinstance(id_type, NumericType) else "").cast(id_type)
+    key = F.struct(F.col("doc_id").isNull().alias("absent"), F.coalesce("doc_id", absent).alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    keyed = docs.withColumn("__key", key)
+    groups = materialise(jaccard.jaccard_components(keyed, id_col="__key", words=5, num=80, den=100), "groups")
+    copies = groups.where("__key <> component_id").select("__key").distinct()
+    kept = keyed.join(copies, "__key", "left_anti")
+    repeated = groups.groupBy("__key").count().where("count > 1").select("__key")
+    if not repeated.limit(1).count():
+        return kept.select(docs.columns)
+    one = kept.join(repeated, "__key", "left_semi").groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return kept.join(repeated, "__key", "left_anti").select(docs.columns).unionAll(one.select("row.*"))
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

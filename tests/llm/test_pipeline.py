@@ -50,3 +50,13 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_repeated_rows_and_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a, "en"), (1, a, "en"), (1, a, "de"), (None, a, "en"), (None, b, "en"), (None, b, "en"), (5, c, "en"), (5, a, "en"), (6, f"{c} more", "en"), (8, None, "en"), (9, "", "en"), (9, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.dedup_documents(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, a), (None, b), (5, c), (8, None), (9, "")]))
