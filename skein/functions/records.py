@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of the values of fixed width in the encoded form.
 WIDTHS = {"int": 4, "bigint": 8, "double": 8, "boolean": 1, "timestamp": 8, "timestamp_ntz": 8}
@@ -49,6 +51,16 @@ def same_records(a: DataFrame, b: DataFrame) -> bool:
 
 
 def decode(df: DataFrame, column: str, parser: Callable[[bytes], tuple], schema: str) -> DataFrame:
-    """Records of a private binary format, parsed by a Python function; the slow path, for inputs only."""
-    parse = F.udf(lambda data: None if data is None else parser(bytes(data)), T.StructType.fromDDL(schema))
-    return df.select(parse(F.col(column)).alias("record")).select("record.*")
+    """Records of a private binary format, parsed by a Python function in Arrow batches; the slow path, for inputs only.
+    A null gives a record of nulls."""
+    kind = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+    nothing = (None,) * len(kind.names)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [nothing if data is None else parser(data) for data in batch.column(0).to_pylist()]
+            columns = zip(*rows, strict=True) if rows else ([] for _ in kind.names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return df.select(F.col(column)).mapInArrow(parse, kind)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
 from .joins import as_column
 
 
@@ -27,16 +28,18 @@ def sort_by(df: DataFrame, key: Column | str, *ties: Column | str) -> DataFrame:
 def ranked(df: DataFrame, key: Column | str, *ties: Column | str, name: str = "pos", start: int = 1) -> DataFrame:
     """``df`` with each row's position in that order.
 
-    Rows are dealt by ranges of the order, numbered in each range, and raised by the sizes of the ranges before, so no
-    task sees more than its range. The ranges are kept in the cache, so that both passes see the same ones.
+    Rows are dealt by ranges of the order, sorted and numbered in each range, and raised by the sizes of the ranges
+    before, so no task sees more than its range. The ranges are written to the shared folder, so that the numbers and the
+    sizes are of the same ones; nothing is left in the cache.
     """
     order = [as_column(key), *[as_column(t) for t in (ties or df.columns)]]
-    dealt = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a range
-    before = sizes.select("__part", F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*[c.asc() for c in order]))
-    out = dealt.withColumn("__within", within).join(F.broadcast(before), "__part")
-    return out.select(*df.columns, (F.coalesce("__before", F.lit(0)) + F.col("__within") + (start - 1)).cast("long").alias(name))
+    record = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record")
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).select(record, F.monotonically_increasing_id().alias("at"))
+    dealt = materialise(ranges, "ranges").select("record", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("within"))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))  # one row a range
+    before = sizes.select("part", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    out = dealt.join(F.broadcast(before), "part")
+    return out.select(*[F.col("record").getField(c).alias(c) for c in df.columns], (F.coalesce("before", F.lit(0)) + F.col("within") + start).cast("long").alias(name))
 
 
 def first_by(df: DataFrame, key: Column | str, *ties: Column | str) -> DataFrame:
@@ -49,6 +52,11 @@ def minimum(df: DataFrame, key: Column | str, name: str = "minimum") -> DataFram
     return df.agg(F.min(as_column(key)).alias(name))
 
 
+def maximum(df: DataFrame, key: Column | str, name: str = "maximum") -> DataFrame:
+    """The greatest key in one row; null for an empty table."""
+    return df.agg(F.max(as_column(key)).alias(name))
+
+
 def skip(df: DataFrame, n: int, order: Sequence[Column | str]) -> DataFrame:
     """All but the first ``n`` rows in ``order``."""
     return df.orderBy(*[as_column(c) for c in order]).offset(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, materialise, write_table
 from .joins import as_column
 
 #: Up to so many distinct values a histogram is folded in one task; beyond it is cut by prefix sums.
@@ -58,27 +59,33 @@ def _fold(groups: DataFrame, buckets: int) -> DataFrame:
 
 
 def _cut(groups: DataFrame, buckets: int) -> DataFrame:
-    """Many values: running sums over ranges, then one search for each boundary.
+    """Many values: running sums over ranges, written in their order, and one look for each boundary.
 
-    Tasks hold a range of values each; the driver holds the boundaries.
+    Tasks hold a range of values each; the driver holds the boundaries. The first value at which the sum reaches a
+    height is less than the greatest frequency beyond it, so a look reads the few row groups around that sum only. Where
+    every value closes a bucket there is nothing to look for.
     """
     spark = groups.sparkSession
-    keyed = groups.repartitionByRange("r", "v").withColumn("part", F.spark_partition_id()).persist()
-    sums = keyed.groupBy("part").agg(F.sum("c").alias("s"))
-    before = sums.select("part", F.coalesce(F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.sum("c").over(Window.partitionBy("part").orderBy("r", "v"))
-    running = keyed.join(F.broadcast(before), "part").select("r", "v", "c", (within + F.col("before")).alias("sum")).persist()
-    total = running.agg(F.max("sum")).head()[0] or 0
-    height, at, rows = total // buckets, 0, []
-    while True:
-        begin, end = running.where(F.col("sum") > at).agg(F.min(F.struct("sum", "v")), F.min(F.when(F.col("sum") >= at + max(height, 1), F.struct("sum", "v")))).head()
-        if begin is None or end is None:
-            break
+    kind = groups.schema["v"].dataType.simpleString()
+    ranges = groups.repartitionByRange("r", "v").sortWithinPartitions("r", "v").select("v", "c", F.monotonically_increasing_id().alias("at"))
+    keyed = materialise(ranges, "values").select("v", "c", "at", F.shiftright("at", 33).alias("part"))
+    sums = keyed.groupBy("part").agg(F.sum("c").alias("s"), F.count("*").alias("n"), F.max("c").alias("most"))  # one row a range
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("part", F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("before"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
+    total, most = sums.agg(F.sum("s"), F.max("most")).head()
+    height = (total or 0) // buckets
+    within = Window.partitionBy("part").orderBy("at")
+    running = keyed.join(F.broadcast(before), "part").select("v", "c", (F.sum("c").over(within) + F.col("before")).alias("sum"), (F.row_number().over(within) + F.col("first") - 1).alias("pos"))
+    if height <= 1:
+        return running.select(F.col("pos").cast("int"), F.col("v").alias("range_begin"), F.col("v").alias("range_end"), F.col("c").alias("value_count"))
+    running = materialise(running.repartitionByRange("sum").sortWithinPartitions("sum"), "sums")
+    at, rows = 0, []
+    while at + height <= total:
+        begin = running.where(F.col("sum").between(at + 1, at + most)).agg(F.min(F.struct("sum", "v"))).head()[0]
+        end = running.where(F.col("sum").between(at + height, at + height + most)).agg(F.min(F.struct("sum", "v"))).head()[0]
         rows.append((len(rows), begin["v"], end["v"], end["sum"] - at))
         at = end["sum"]
-    running.unpersist()
-    keyed.unpersist()
-    kind = groups.schema["v"].dataType.simpleString()
+    discard(running)
     return spark.createDataFrame(rows, f"pos int, range_begin {kind}, range_end {kind}, value_count bigint")
 
 
@@ -112,9 +119,19 @@ class Statistics:
     def attribute(self, table: str, attribute: str) -> tuple[int, list] | None:
         return self._attributes.get((table, attribute))
 
-    def save(self, name: str) -> None:
-        """As catalog tables ``{name}_tables`` and ``{name}_attributes``, so that they outlive the session."""
+    def save(self, path: str) -> None:
+        """Into a folder, so that they outlive the session."""
+        spark = self.registry.spark
+        write_table(spark.createDataFrame(list(self._rows.items()), "table string, row_count long"), f"{path}/tables")
+        rows = [(t, a, n, [(p, None if x is None else str(x), None if y is None else str(y), c) for p, x, y, c in h]) for (t, a), (n, h) in self._attributes.items()]
+        write_table(spark.createDataFrame(rows, "table string, attribute string, cardinality long, histogram array<struct<pos:int,range_begin:string,range_end:string,value_count:long>>"), f"{path}/attributes")
+
+    def load(self, path: str) -> None:
+        """What ``save`` wrote, the ranges in the types of the registry's attributes."""
         spark = self.registry.spark
-        spark.createDataFrame(list(self._rows.items()), "table string, row_count long").write.mode("overwrite").saveAsTable(f"{name}_tables")
-        rows = [(t, a, n, [(p, str(x), str(y), c) for p, x, y, c in h]) for (t, a), (n, h) in self._attributes.items()]
-        spark.createDataFrame(rows, "table string, attribute string, cardinality long, histogram array<struct<pos:int,range_begin:string,range_end:string,value_count:long>>").write.mode("overwrite").saveAsTable(f"{name}_attributes")
+        self._rows |= dict(map(tuple, spark.read.parquet(f"{path}/tables").collect()))
+        for table, attribute, n, histogram in spark.read.parquet(f"{path}/attributes").collect():
+            kind = self.registry.table(table).schema[attribute].dataType
+            rows = spark.createDataFrame([tuple(h) for h in histogram], "pos int, range_begin string, range_end string, value_count long")
+            typed = rows.orderBy("pos").select("pos", F.col("range_begin").cast(kind), F.col("range_end").cast(kind), "value_count")
+            self._attributes[table, attribute] = n, [tuple(r) for r in typed.collect()]

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import fresh_path, materialise, write_table
+
 
 class TableNotFound(LookupError):
     """A name that no table has."""
@@ -20,11 +23,13 @@ class TableExists(ValueError):
 class Registry:
     """name -> DataFrame. Registering is lazy: nothing is read until a result is asked for."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        """``folder``: where saved indexes lie; a registry of another session finds them there again."""
         from ..operators.indexes import Indexes
         from ..operators.statistics import Statistics
 
         self.spark = spark
+        self._folder = folder
         self._tables: dict[str, DataFrame] = {}
         self._oids: dict[str, int] = {}
         self._next = 1
@@ -32,13 +37,24 @@ class Registry:
         self.statistics = Statistics(self)
 
     @classmethod
-    def of_parquet(cls, spark: SparkSession, folder: str, names: Iterable[str]) -> Registry:
-        """Tables ``{folder}/{name}.parquet``."""
-        out = cls(spark)
+    def of_parquet(cls, spark: SparkSession, folder: str, names: Iterable[str], *, saved: str | None = None) -> Registry:
+        """Tables ``{folder}/{name}.parquet``; ``saved`` is the folder of saved indexes."""
+        out = cls(spark, saved)
         for name in names:
             out.create_table(name, spark.read.parquet(f"{folder}/{name}.parquet"))
         return out
 
+    @property
+    def has_folder(self) -> bool:
+        return self._folder is not None
+
+    @property
+    def folder(self) -> str:
+        """Made when it is first needed, unless one was named; that one goes with the driver."""
+        if self._folder is None:
+            self._folder = fresh_path(self.spark, "registry")
+        return self._folder
+
     def create_table(self, name: str, content: DataFrame | T.StructType | str) -> int:
         """Register a DataFrame, or an empty table of a schema. Returns its identifier, which is never used again."""
         if name in self._tables:
@@ -88,9 +104,15 @@ class Registry:
         """``function`` over the Arrow batches of each partition: (iterator of batches) -> iterator of batches."""
         return self.table(name).mapInArrow(function, schema)
 
-    def save_table(self, name: str, *, mode: str = "errorifexists") -> None:
-        """Into the catalog; the write is all or nothing."""
-        self.table(name).write.mode(mode).saveAsTable(name)
+    def save(self, folder: str) -> None:
+        """All tables as ``{folder}/{name}.parquet``, where ``of_parquet`` finds them; each write is all or nothing."""
+        for name, df in self._tables.items():
+            write_table(df, f"{folder}/{name}.parquet")
+
+    def contents(self) -> DataFrame:
+        """(name, record): the records of all tables as JSON."""
+        parts = [df.select(F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("record")) for name, df in self._tables.items()]
+        return reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], "name string, record string")
 
     def show(self, n: int = 20) -> None:
         """The contents of all tables, to the console."""
@@ -100,21 +122,30 @@ class Registry:
 
 
 class TableBuilder:
-    """Rows gathered one by one and appended to a table when closed; for small inputs at the driver."""
+    """Rows gathered one by one and appended to a table when closed. The driver holds ``batch`` of them at most; full
+    batches are written to the shared folder."""
 
-    def __init__(self, registry: Registry, name: str):
-        self.registry, self.name = registry, name
+    def __init__(self, registry: Registry, name: str, batch: int = 100_000):
+        self.registry, self.name, self.batch = registry, name, batch
+        self._schema = registry.table(name).schema
         self._rows: list[tuple] = []
+        self._written: list[DataFrame] = []
 
     def insert(self, *values: object) -> TableBuilder:
         self._rows.append(values)
+        if len(self._rows) >= self.batch:
+            self._written.append(materialise(self._gathered(), "batch"))
         return self
 
+    def _gathered(self) -> DataFrame:
+        rows, self._rows = self._rows, []
+        return self.registry.spark.createDataFrame(rows, self._schema)
+
     def close(self) -> None:
-        if self._rows:
-            df = self.registry.table(self.name)
-            self.registry.replace_table(self.name, df.unionByName(self.registry.spark.createDataFrame(self._rows, df.schema)))
-            self._rows = []
+        parts = [*self._written, *([self._gathered()] if self._rows else [])]
+        if parts:
+            self.registry.replace_table(self.name, reduce(DataFrame.unionByName, parts, self.registry.table(self.name)))
+            self._written = []
 
     def __enter__(self) -> TableBuilder:
         return self

@@ -66,16 +66,21 @@ def write_table(df: DataFrame, path: str, *partitions: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet; what is written there goes when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once into the shared folder and read back, which cuts its lineage.
 
     A lost executor costs a re-read of the table, not a re-run of what made it. The table goes when it is discarded, at
     the latest when the driver's Python ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.add(path)
-    atexit.register(_remove, spark, path)
+    path = fresh_path(df.sparkSession, name)
     kept = write_table(df, path)
     kept._skein_path = path
     return kept
