@@ -12,7 +12,11 @@ from .functions import records as fields
 from .operators import hashing, indexes, records, sorting, statistics
 from .operators.joins import inner_join
 from .plans import AccessMethod, FilterSpec, JoinAlgorithm, JoinNode, JoinSpec, QueryPlan, execute, parse_filter_clause, parse_join_clause, push_down, query, reorder
+from .plans import parse_index_clause
+from .sources.demo import ROWS as DEMO_ROWS
+from .sources.demo import demo_schema
 from .sources.registry import Registry, TableBuilder
+from .sources.shared import fresh_path
 
 COLUMNS = {
     "region": "r_regionkey r_name",
@@ -272,13 +276,13 @@ def _indexed(spark, sf_dir) -> Registry:
 
 @_registered("SELECT o_custkey AS key, count(*) AS locations FROM orders GROUP BY 1")
 def index_lookup_count(spark, sf_dir):
-    runs = indexes.locations(_indexed(spark, sf_dir).indexes.open("orders", "o_custkey"))
-    return runs.select("key", F.size("locations").cast("long").alias("locations"))
+    runs = indexes.locations(_indexed(spark, sf_dir).indexes.open("orders", "o_custkey").entries())
+    return runs.groupBy("key").agg(F.sum(F.size("locations")).cast("long").alias("locations"))
 
 
 @_registered("SELECT o_custkey AS key, o_orderkey AS location FROM orders")
 def index_overflow_runs(spark, sf_dir):
-    return indexes.explode_run(indexes.locations(_indexed(spark, sf_dir).indexes.open("orders", "o_custkey")))
+    return indexes.explode_run(indexes.locations(_indexed(spark, sf_dir).indexes.open("orders", "o_custkey").entries()))
 
 
 @_registered("SELECT o_orderkey AS location FROM orders WHERE o_custkey = 17")
@@ -359,3 +363,233 @@ def page_of_records(spark, sf_dir):
 @_registered("SELECT * FROM region WHERE false")
 def record_clear(spark, sf_dir):
     return records.clear(_tables(spark, sf_dir).table("region"))
+
+
+# structures that are saved, opened again and used
+
+
+@_registered("SELECT * FROM orders WHERE o_custkey = 42")
+def hash_saved_find(spark, sf_dir):
+    path = fresh_path(spark, "orders_hash")
+    hashing.hash_table(_tables(spark, sf_dir).table("orders"), 32, "o_custkey").save(path)
+    return hashing.open_table(spark, path).find(42)
+
+
+@_registered("SELECT * FROM customer WHERE c_name = 'Customer#000000042'")
+def hash_saved_find_string(spark, sf_dir):
+    path = fresh_path(spark, "customer_hash")
+    hashing.hash_table(_tables(spark, sf_dir).table("customer"), 16, "c_name").save(path)
+    return hashing.open_table(spark, path).find("Customer#000000042")
+
+
+JVM_STRING = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)), lambda h, u: (h * 31 + u) % 4294967296)"
+
+
+@_registered(f"""WITH coded AS (SELECT c_name, {JVM_STRING.format('c_name')} AS h FROM customer)
+SELECT c_name, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 50 AS INTEGER) AS bucket FROM coded""")
+def hash_buckets_string(spark, sf_dir):
+    return hashing.hash_table(_tables(spark, sf_dir).table("customer"), 50, "c_name").rows.select("c_name", "bucket")
+
+
+@_registered("""WITH k AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 1000003007 AS key FROM orders), coded AS (SELECT o_orderkey, xor(key, key >> 32) & 4294967295 AS h FROM k)
+SELECT o_orderkey, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 64 AS INTEGER) AS bucket FROM coded""")
+def hash_buckets_long(spark, sf_dir):
+    orders = _tables(spark, sf_dir).table("orders")
+    return hashing.hash_table(orders, 64, F.col("o_orderkey").cast("long") * 1000003007).rows.select("o_orderkey", "bucket")
+
+
+def _saved_index(spark, sf_dir, table: str, attribute: str, **options) -> Registry:
+    """An index that one registry saves and another opens."""
+    folder = fresh_path(spark, "indexes")
+    Registry.of_parquet(spark, sf_dir, [table], saved=folder).indexes.create(table, attribute, save=True, **options)
+    return Registry.of_parquet(spark, sf_dir, [*COLUMNS], saved=folder)
+
+
+@_registered("SELECT * FROM orders WHERE o_custkey = 17")
+def index_saved_btree_scan(spark, sf_dir):
+    return _saved_index(spark, sf_dir, "orders", "o_custkey").indexes.equality_scan("orders", "o_custkey", 17)
+
+
+@_registered("SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'")
+def index_saved_hash_scan(spark, sf_dir):
+    return _saved_index(spark, sf_dir, "customer", "c_mktsegment", method="hash").indexes.equality_scan("customer", "c_mktsegment", "BUILDING")
+
+
+@_registered("SELECT l_orderkey AS location FROM lineitem WHERE l_partkey = 20")
+def index_saved_lookup(spark, sf_dir):
+    return _saved_index(spark, sf_dir, "lineitem", "l_partkey", location="l_orderkey").indexes.lookup("lineitem", "l_partkey", 20)
+
+
+@_registered("SELECT max(o_orderkey) AS location FROM orders WHERE o_custkey = 17 HAVING count(*) > 0")
+def index_saved_unique(spark, sf_dir):
+    return _saved_index(spark, sf_dir, "orders", "o_custkey", location="o_orderkey", unique=True).indexes.lookup("orders", "o_custkey", 17)
+
+
+@_registered(f"SELECT {_qualified('customer', 'orders')} FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_custkey = 17")
+def index_saved_then_join(spark, sf_dir):
+    spec = FilterSpec("orders", "o_custkey", "=", "17", AccessMethod.INDEX_SCAN)
+    node = JoinNode(JoinSpec("customer", "c_custkey"), JoinSpec("orders", "o_custkey", (spec,)))
+    return execute(QueryPlan((node,)), _saved_index(spark, sf_dir, "orders", "o_custkey"))
+
+
+@_registered("SELECT 'orders' AS name, 'o_custkey' AS attribute, true AS present UNION ALL SELECT 'customer', 'c_name', true UNION ALL SELECT 'orders', 'o_orderkey', false")
+def index_exists(spark, sf_dir):
+    registry = _tables(spark, sf_dir)
+    registry.indexes.create_all(parse_index_clause("orders.o_custkey, customer.c_name"), save=True)
+    rows = [(t, a, registry.indexes.exists(t, a)) for t, a in (("orders", "o_custkey"), ("customer", "c_name"), ("orders", "o_orderkey"))]
+    return spark.createDataFrame(rows, "name string, attribute string, present boolean")
+
+
+@_registered("SELECT 'orders_idx_o_custkey_btree' AS name, count(*) AS entries FROM orders UNION ALL SELECT 'customer_idx_c_name_btree', count(*) FROM customer")
+def index_clause_batch(spark, sf_dir):
+    registry = _tables(spark, sf_dir)
+    pairs = parse_index_clause("orders.o_custkey, customer.c_name")
+    registry.indexes.create_all(pairs, save=True)
+    parts = [spark.read.parquet(f"{registry.folder}/{indexes.index_name(t, a, 'btree')}").agg(F.lit(indexes.index_name(t, a, "btree")).alias("name"), F.count("*").alias("entries")) for t, a in pairs]
+    return parts[0].unionAll(parts[1])
+
+
+@_registered("SELECT o_orderkey AS location FROM orders WHERE o_custkey % 100 = 17")
+def index_computed_key(spark, sf_dir):
+    orders = _tables(spark, sf_dir).table("orders")
+    return indexes.Index(indexes.build(orders, F.col("o_custkey") % 100, "o_orderkey"), F.col("o_orderkey")).lookup(17)
+
+
+@_registered("SELECT * FROM orders WHERE o_custkey % 100 = 17")
+def hash_find_computed_key(spark, sf_dir):
+    return hashing.hash_table(_tables(spark, sf_dir).table("orders"), 8, F.col("o_custkey") % 100).find(17)
+
+
+@_registered("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice % 1000, o_orderkey) AS pos FROM orders")
+def sort_computed_key(spark, sf_dir):
+    return sorting.ranked(_tables(spark, sf_dir).table("orders"), F.col("o_totalprice") % 1000, "o_orderkey").select("o_orderkey", "pos")
+
+
+@_registered("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey")
+def sort_ordered(spark, sf_dir):
+    return sorting.sort_by(_tables(spark, sf_dir).table("orders"), "o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@_registered("SELECT max(l_extendedprice) AS maximum FROM lineitem")
+def sort_maximum(spark, sf_dir):
+    return sorting.maximum(_tables(spark, sf_dir).table("lineitem"), "l_extendedprice")
+
+
+@_registered("SELECT month(o_orderdate) AS value, count(*) AS frequency FROM orders GROUP BY 1")
+def value_frequencies_computed(spark, sf_dir):
+    return statistics.value_frequencies(_tables(spark, sf_dir).table("orders"), F.month("o_orderdate"))
+
+
+def _saved_statistics(spark, sf_dir, *tables: str) -> Registry:
+    """Statistics that one registry saves and another reads."""
+    path = fresh_path(spark, "statistics")
+    registry = _tables(spark, sf_dir)
+    for table in tables:
+        registry.statistics.build_all(table)
+    registry.statistics.save(path)
+    again = _tables(spark, sf_dir)
+    again.statistics.load(path)
+    return again
+
+
+@_registered("SELECT 'supplier' AS name, count(*) AS row_count FROM supplier UNION ALL SELECT 'nation', count(*) FROM nation")
+def stats_saved_rows(spark, sf_dir):
+    found = _saved_statistics(spark, sf_dir, "supplier", "nation").statistics
+    return spark.createDataFrame([(t, found.row_count(t)) for t in ("supplier", "nation")], "name string, row_count long")
+
+
+@_registered(" UNION ALL ".join(f"SELECT '{c}' AS attribute, count(DISTINCT {c}) AS cardinality FROM supplier" for c in COLUMNS["supplier"].split()))
+def stats_all_attributes(spark, sf_dir):
+    registry = _saved_statistics(spark, sf_dir, "supplier")
+    rows = [(c, registry.statistics.attribute("supplier", c)[0]) for c in COLUMNS["supplier"].split()]
+    return spark.createDataFrame(rows, "attribute string, cardinality long")
+
+
+@_registered(ORACLE["stats_histogram"].replace("o_custkey", "n_nationkey").replace("FROM orders", "FROM nation"))
+def stats_saved_histogram(spark, sf_dir):
+    found = _saved_statistics(spark, sf_dir, "nation").statistics.attribute("nation", "n_nationkey")[1]
+    return spark.createDataFrame(found, "pos int, range_begin int, range_end int, value_count long")
+
+
+# whole tables: saved, shown, decoded, compared
+
+
+@_registered("SELECT * FROM supplier")
+def table_saved(spark, sf_dir):
+    folder = fresh_path(spark, "tables")
+    registry = Registry(spark)
+    registry.create_table("supplier", _tables(spark, sf_dir).table("supplier"))
+    registry.save(folder)
+    return Registry.of_parquet(spark, folder, ["supplier"]).table("supplier")
+
+
+@_registered("SELECT 'nation' AS name, n_name AS value FROM nation UNION ALL SELECT 'region', r_name FROM region")
+def contents_dump(spark, sf_dir):
+    found = Registry.of_parquet(spark, sf_dir, ["nation", "region"]).contents()
+    return found.select("name", F.coalesce(F.get_json_object("record", "$.n_name"), F.get_json_object("record", "$.r_name")).alias("value"))
+
+
+@_registered("SELECT n_nationkey, n_name FROM nation")
+def record_decode(spark, sf_dir):
+    raw = _tables(spark, sf_dir).table("nation").select(F.concat(F.unhex(F.lpad(F.hex("n_nationkey"), 8, "0")), F.encode("n_name", "UTF-16BE")).alias("data"))
+    return fields.decode(raw, "data", lambda b: (int.from_bytes(b[:4], "big"), b[4:].decode("utf-16-be")), "n_nationkey int, n_name string")
+
+
+@_registered("SELECT 'same' AS pair, true AS equal UNION ALL SELECT 'less', false UNION ALL SELECT 'more often', false")
+def record_equality(spark, sf_dir):
+    nation = _tables(spark, sf_dir).table("nation")
+    rows = [("same", fields.same_records(nation, nation.orderBy("n_name"))), ("less", fields.same_records(nation, nation.where("n_nationkey > 0"))), ("more often", fields.same_records(nation, nation.unionAll(nation)))]
+    return spark.createDataFrame(rows, "pair string, equal boolean")
+
+
+@_registered("SELECT count(DISTINCT (c_nationkey, c_mktsegment)) AS kinds FROM customer")
+def record_hashes(spark, sf_dir):
+    return _tables(spark, sf_dir).table("customer").agg(F.count_distinct(fields.record_hash("c_nationkey", "c_mktsegment")).alias("kinds"))
+
+
+@_registered(" UNION ALL ".join(f"SELECT '{name}' AS name, {2 * n} AS row_count, true AS seeded" for name, n in DEMO_ROWS.items()))
+def demo_tables(spark, sf_dir):
+    first, second = demo_schema(spark, 2, seed=5), demo_schema(spark, 2, seed=5)
+    rows = [(n, first.table(n).count(), fields.same_records(first.table(n), second.table(n))) for n in DEMO_ROWS]
+    return spark.createDataFrame(rows, "name string, row_count int, seeded boolean")
+
+
+@_registered(f"SELECT {_qualified('lineitem', 'orders')} FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def join_broadcast_refused(spark, sf_dir):
+    """A broadcast that is asked for but not granted, as the right side is said to be large: a hash join."""
+    r = _tables(spark, sf_dir)
+    left, right = (r.table(t).select(*[F.col(c).alias(f"{t}__{c}") for c in COLUMNS[t].split()]) for t in ("lineitem", "orders"))
+    return inner_join(left, right, "lineitem__l_orderkey", "orders__o_orderkey", "broadcast", most_bytes=1)
+
+
+# the commands
+
+
+@_registered(f"SELECT {_qualified('nation', 'region')} FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+def cli_query(spark, sf_dir):
+    from .cli import run
+
+    return run(["query", "--data", sf_dir, "--tables", "nation,region", "--join", "nation.n_regionkey:region.r_regionkey", "--filter", "region.r_name = 'ASIA'", "--index", "nation.n_regionkey", "--statistics", "--optimizer", "reorder"], spark).select(
+        *[f"{t}__{c}" for t in ("nation", "region") for c in COLUMNS[t].split()]
+    )
+
+
+@_registered("SELECT 'sort' AS method, min(o_totalprice) AS least FROM orders UNION ALL SELECT 'minimum', min(o_totalprice) FROM orders")
+def cli_sort_benchmark(spark, sf_dir):
+    from .cli import run
+
+    return run(["sort-benchmark", "--data", sf_dir, "--table", "orders", "--key", "o_totalprice"], spark)
+
+
+@_registered("SELECT unnest(['lookup', 'full scan']) AS method, (SELECT count(*) FROM orders WHERE o_custkey = 42) AS found")
+def cli_hash_benchmark(spark, sf_dir):
+    from .cli import run
+
+    return run(["hash-benchmark", "--data", sf_dir, "--table", "orders", "--key", "o_custkey", "--value", "42", "--buckets", "16"], spark)
+
+
+@_registered("SELECT unnest(['nested_loops', 'hash', 'broadcast', 'merge']) AS algorithm, (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey) AS row_count")
+def cli_join_benchmark(spark, sf_dir):
+    from .cli import run
+
+    return run(["join-benchmark", "--data", sf_dir, "--join", "customer.c_nationkey:nation.n_nationkey"], spark)

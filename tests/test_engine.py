@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skein import cli
 from skein.functions import records as fields
 from skein.operators import hashing, indexes, records, sorting, statistics
 from skein.operators.joins import inner_join
@@ -24,6 +25,7 @@ from skein.plans import (
     reorder,
 )
 from skein.plans.executor import by_table
+from skein.sources import shared
 from skein.sources.demo import demo_schema
 from skein.sources.registry import Registry, TableBuilder, TableExists, TableNotFound
 
@@ -176,7 +178,9 @@ def test_indexes(spark):
         registry.indexes.create("t", "value", location="n")
     with pytest.raises(indexes.IndexError_):
         registry.indexes.open("t", "n")
-    assert rows(indexes.explode_run(indexes.locations(registry.indexes.open("t", "value")))) == rows(registry.indexes.open("t", "value"))
+    entries = registry.indexes.open("t", "value").entries()
+    runs = indexes.locations(entries)
+    assert rows(indexes.explode_run(runs)) == rows(entries) and runs.where("key = 'fizz'").count() == 3
     unique = indexes.build(spark.createDataFrame([(1, 5), (1, 9), (2, 3)], "k int, p int"), "k", "p", unique=True, method="hash")
     assert rows(unique) == [(1, 9), (2, 3)]
 
@@ -213,12 +217,147 @@ def test_histogram_in_order_of_first_sight(spark):
     assert rows(statistics.histogram(df, "v", 2, seen="pos")) == [(0, 5, 5, 2), (1, 1, 9, 2)]
 
 
-def test_saved_statistics(spark, demo):
+def test_saved_statistics(spark, demo, tmp_path):
     demo.statistics.build_all("planet")
     assert demo.statistics.row_count("planet") == 20 and demo.statistics.attribute("planet", "id")[0] == 20
     assert demo.statistics.row_count("nothing") is None
-    demo.statistics.save("stats")
-    assert spark.table("stats_attributes").count() == 3
+    demo.statistics.save(str(tmp_path / "stats"))
+    again = demo_schema(spark)
+    again.statistics.load(str(tmp_path / "stats"))
+    assert again.statistics.row_count("planet") == 20 and again.statistics.row_count("flight") == demo.statistics.row_count("flight")
+    assert all(again.statistics.attribute("planet", c) == demo.statistics.attribute("planet", c) for c in ("id", "name", "distance"))
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def files_read(df):
+    """The files that each scan of a query opened."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")
+        df.collect()
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        return [leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size()) if leaves.apply(i).metrics().contains("numFiles")]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_saved_hash_table_reads_one_bucket(spark, tmp_path):
+    people = spark.range(1, 5001).select((F.col("id") % 700).alias("id"), F.concat(F.lit("p"), F.col("id") % 90).alias("name"))
+    for key, value, missing in (("id", 77, 9000), ("name", "p5", "nobody")):
+        path = str(tmp_path / key)
+        hashing.hash_table(people, 16, key).save(path)
+        table = hashing.open_table(spark, path)
+        assert rows(table.find(value)) == rows(people.where(F.col(key) == value)) and table.find(missing).count() == 0
+        assert "(bucket#" in plan_of(table.find(value)) and files_read(table.find(value)) == [1] and files_read(table.rows)[0] > 10
+        assert sum(r["row_count"] for r in table.buckets().collect()) == 5000
+
+
+def test_bucket_numbers_of_the_jvm(spark):
+    """Known hash codes of the JVM."""
+    strings = {"": 0, "a": 97, "Foo Bar": None, "polygenelubricants": -(2**31), "\U0001f600": 55357 * 31 + 56832}
+    df = spark.createDataFrame([(s,) for s in strings], "s string")
+    got = {r["s"]: r["h"] for r in df.select("s", hashing.hash_code("s", df.schema["s"].dataType).alias("h")).collect()}
+    objects = spark._jvm.java.util.Objects
+    assert all(got[s] == objects.hashCode(s) for s in strings) and all(got[s] == h for s, h in strings.items() if h is not None)
+    longs = [0, 1, -1, 2**40 + 7, -(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(x,) for x in longs], "x long")
+    assert [r[0] for r in df.select(hashing.hash_code("x", df.schema["x"].dataType)).collect()] == [((x ^ (x % 2**64 >> 32)) + 2**31) % 2**32 - 2**31 for x in longs]
+
+
+def test_saved_index_is_opened_and_read(spark, tmp_path):
+    """Two files; a lookup names one, and only that is opened."""
+    data, folder = str(tmp_path / "data"), str(tmp_path / "saved")
+    spark.range(2000).selectExpr("id as k", "id % 10 as v", "'x' as `__record`").repartitionByRange(2, "k").write.parquet(f"{data}/t.parquet")
+    for method, attribute in (("btree", "k"), ("hash", "v")):
+        Registry.of_parquet(spark, data, ["t"], saved=folder).indexes.create("t", attribute, method=method, save=True)
+    again = Registry.of_parquet(spark, data, ["t"], saved=folder)
+    assert again.indexes.exists("t", "k") and not again.indexes.exists("t", "__record")
+    with pytest.raises(indexes.IndexError_):
+        again.indexes.create("t", "k")
+    found = again.indexes.equality_scan("t", "k", 1500)
+    assert rows(found) == [(1500, 0, "x")] and found.columns == ["k", "v", "__record"]
+    assert files_read(again.table("t")) == [2] and files_read(found)[0] == 1
+    assert rows(again.indexes.equality_scan("t", "v", 3)) == rows(again.table("t").where("v = 3"))
+    assert files_read(again.indexes.lookup("t", "v", 3)) == [1] and again.indexes.lookup("t", "v", 3).count() == 200
+    assert again.indexes.equality_scan("t", "k", -5).count() == 0
+
+
+def test_nested_loops_only_for_small_sides(spark, monkeypatch):
+    a, b = spark.range(50).withColumnRenamed("id", "x"), spark.range(50).withColumnRenamed("id", "y")
+    assert "CartesianProduct" in plan_of(inner_join(a, b, "x", "y", "nested_loops"))
+    large = spark.range(10_000_000).withColumnRenamed("id", "y")
+    plan = inner_join(a, large, "x", "y", "nested_loops")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "ShuffledHashJoin" in plan
+    refused = inner_join(a, b, "x", "y", "broadcast", most_bytes=1)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in refused and "ShuffledHashJoin" in refused
+
+
+def test_nothing_stays_in_the_cache(spark):
+    sorting.ranked(spark.range(100).withColumnRenamed("id", "v"), "v").collect()
+    assert spark._jsc.getPersistentRDDs().size() == 0
+
+
+def test_table_builder_writes_full_batches(spark):
+    registry = Registry(spark)
+    registry.create_table("t", "a int, b string")
+    with TableBuilder(registry, "t", batch=10) as b:
+        for i in range(25):
+            b.insert(i, str(i))
+        assert len(b._rows) == 5
+    assert rows(registry.table("t")) == [(i, str(i)) for i in range(25)]
+
+
+def test_maximum(spark):
+    assert sorting.maximum(spark.range(7), "id").head()[0] == 6 and sorting.maximum(spark.range(0), "id").head()[0] is None
+
+
+def test_decode_in_batches(spark):
+    raw = spark.createDataFrame([(bytearray([i, 7]) if i % 5 else None,) for i in range(100)], "data binary")
+    got = fields.decode(raw, "data", lambda b: (b[0], str(b[1])), "x int, y string")
+    assert sorted(got.collect(), key=str) == sorted([(i, "7") if i % 5 else (None, None) for i in range(100)], key=str)
+    assert "BatchEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    assert fields.decode(raw.limit(0), "data", lambda b: (b[0], ""), "x int, y string").count() == 0
+
+
+def test_a_shared_folder_is_needed_off_local_masters(spark):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+    Context.master = "local[2]"
+    assert shared.shared_dir(Session()) == shared.shared_dir(Session())
+
+
+def test_filters_and_joins_run_on_streams(spark, tmp_path):
+    """A registered table may be a stream: the clause language over files that arrive one after another."""
+    arrivals = str(tmp_path / "arrivals")
+    facts = spark.range(100).selectExpr("id", "id % 4 as kind")
+    facts.where("id < 60").write.parquet(arrivals)
+    registry = Registry(spark)
+    registry.create_table("fact", spark.readStream.schema(facts.schema).parquet(arrivals))
+    registry.create_table("kind", spark.createDataFrame([(i, f"k{i}") for i in range(3)], "id long, name string"))
+    out = query(registry, "fact.kind:kind.id", "fact.id >= 10 & kind.name = 'k2'", optimizer=push_down)
+    stream = out.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        stream.processAllAvailable()
+        facts.where("id >= 60").write.mode("append").parquet(arrivals)
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    assert sorted(r["fact__id"] for r in spark.table("found").collect()) == [i for i in range(10, 100) if i % 4 == 2]
 
 
 def test_records(spark):
@@ -247,3 +386,21 @@ def test_demo_is_seeded(spark):
     a, b = demo_schema(spark), demo_schema(spark)
     assert a.table("ticket").collect() == b.table("ticket").collect() and a.table("ticket").count() == 600
     assert a.table("flight").agg(F.max("planet_id")).head()[0] <= 19
+
+
+def test_commands(spark, tmp_path, capsys):
+    data = str(tmp_path / "demo")
+    assert {tuple(r) for r in cli.run(["generate", "--data", data, "--scale", "2"], spark).collect()} == {("planet", 40), ("spacecraft", 8), ("flight", 400), ("ticket", 1200)}
+    tables = ["--data", data, "--tables", "planet,spacecraft,flight,ticket"]
+    shown = cli.run(["query", *tables], spark)
+    assert shown.groupBy("name").count().count() == 4
+    for options in (["--index", "flight.num"], ["--statistics", "--optimizer", "reorder"], ["--algorithm", "merge", "--optimizer", "none"]):
+        found = cli.run(["query", *tables, "--join", CHAIN, "--filter", "planet.id = 1", *options], spark)
+        assert found.count() == spark.read.parquet(f"{data}/flight.parquet").where("planet_id = 1").count()
+    for command in (["sort-benchmark"], ["hash-benchmark", "--key", "pax_name", "--value", "passenger 42"], ["join-benchmark"]):
+        assert cli.main([*command, *tables]) == 0
+    printed = capsys.readouterr().out
+    assert "lookup" in printed and "nested_loops" in printed
+    assert cli.run(["query", "--join", "planet.id:flight.planet_id", "--index", "flight.num"], spark).count() == 200
+    with pytest.raises(SystemExit):
+        cli.run(["generate"], spark)
