@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, materialise, shared_dir
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``; where it is unset, as in tests, a local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="skein-shared-")
-        atexit.register(shutil.rmtree, _own_dirs[app], True)
-    return _own_dirs[app]
+__all__ = ["checkpointed", "crc_bucket", "discard", "materialise", "narrow", "shared_dir"]
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -34,32 +18,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-_written: set[str] = set()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended: the folder is left to its owner
-        pass
-    _written.discard(path)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet into the shared folder and read back, which cuts its lineage.
-
-    A lost executor costs a re-read of the table, not a re-run of what made it. The files are removed when the
-    driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.add(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under private names, so that further columns, however called, cannot clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
