@@ -7,8 +7,11 @@ are equal. After learning the statistics are frozen: every context's code length
 bytes and all languages, in 1/1024 bit, so that a text's code length is an exact integer sum of table entries, one
 for each byte. The language with the shortest code is the prediction.
 
-Learning reads a bounded sample: about ``docs_per_language`` documents (whole texts), picked by a hash of the id, and
-keeps the ``max_contexts`` most frequent contexts. Scoring reads every byte of every text.
+Learning reads a bounded sample: about ``docs_per_language`` documents (whole texts) of every language, picked by a hash
+of the id. It keeps ``max_contexts`` contexts, those with the greatest share of some language's, so that a language with
+short documents has its own among them. Scoring reads every byte of every text. Languages are scored in blocks of
+``BLOCK``, a pass for each, which bounds the tables that a worker holds however many languages there are; the driver
+holds a row for each language and the contexts with their followers.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every text when there is
 nothing to learn from; equal code lengths go to the language that sorts first.
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, materialise, narrow
+from .common import crc_bucket, discard, materialise, narrow
 
 ORDER = 4
 UNKNOWN = "und"
@@ -32,6 +35,8 @@ UNKNOWN = "und"
 UNITS = 1024
 #: Bytes that are scored at once.
 SLICE = 1 << 20
+#: Languages that are scored in a pass, each with a table of about 2 MB at 4,096 contexts.
+BLOCK = 16
 #: The score is the posterior that this many bytes at the text's mean code lengths would give.
 SCORE_BYTES = 64
 _LENGTH_SHIFT = 8 * (ORDER + 1)
@@ -165,57 +170,87 @@ class ContextTrees:
         return out
 
 
-def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, max_contexts: int = 4096, max_languages: int = 64) -> ContextTrees | None:
-    """Context trees from the rows of ``df`` with a text and a language; None where there are none.
-
-    The driver receives at most ``max_contexts`` contexts with their followers. Of more than ``max_languages``
-    languages the most frequent are learnt.
-    """
+def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, max_contexts: int = 4096, block: int = BLOCK) -> list[ContextTrees]:
+    """Context trees, for each block of languages, from the rows of ``df`` with a text and a language; none where there
+    are none. All blocks have the same contexts, so that their code lengths compare."""
+    spark = df.sparkSession
     rows = narrow(df, id=id_col, text=text_col, lang=lang_col).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    sizes = sorted(map(tuple, rows.groupBy("lang").agg(F.count("*").alias("n")).collect()))
     if not sizes:
-        return None
-    share = F.lit(0.0)
-    for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_per_language / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)
-    grams = materialise(count_grams(rows.where(drawn).select("text", "lang")), "grams")
+        return []
+    shares = spark.createDataFrame([(lang, min(1.0, docs_per_language / n) * (1 << 30)) for lang, n in sizes], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("share"))
+    grams = materialise(count_grams(drawn.select("text", "lang")), "grams")
     length = F.shiftright("gram", _LENGTH_SHIFT)
     context = F.when(length > 1, F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << _LENGTH_SHIFT) - 1)), 8) + (length - 1) * F.lit(1 << _LENGTH_SHIFT)).otherwise(F.lit(0))
     grams = grams.withColumn("context", context.cast("long"))
-    top = grams.where("context > 0").groupBy("context").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "context").limit(max_contexts).select("context")
-    contexts = [r[0] for r in top.collect()]
-    kept = grams.join(F.broadcast(df.sparkSession.createDataFrame([(c,) for c in [0, *contexts]], "context long")), "context")
-    languages = sorted(lang for lang, _ in sizes)
-    return ContextTrees(languages, contexts, kept.select("lang", "gram", "n").toPandas())
-
-
-def predict(df: DataFrame, trees: ContextTrees | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
+    each = grams.where("context > 0").groupBy("lang", "context").agg(F.sum("n").alias("n")).join(F.broadcast(totals), "lang")
+    top = each.groupBy("context").agg(F.max(F.col("n") / F.col("total")).alias("weight")).orderBy(F.desc("weight"), "context").limit(max_contexts).select("context")
+    contexts = _closed([r[0] for r in top.collect()])
+    known = F.broadcast(spark.createDataFrame([(c,) for c in [0, *contexts]], "context long"))
+    languages = [lang for lang, _ in sizes]
+    trees = []
+    for at in range(0, len(languages), block):
+        some = languages[at : at + block]
+        kept = grams.where(F.col("lang").isin(some)).join(known, "context").select("lang", "gram", "n").toPandas()
+        trees.append(ContextTrees(some, contexts, kept))
+    discard(grams)
+    return trees
+
+
+def _closed(contexts: list[int]) -> list[int]:
+    """With the contexts that are left when first bytes are dropped, of which there are ORDER - 1 for each at most."""
+    found = set(contexts)
+    for code in contexts:
+        for length in range((code >> _LENGTH_SHIFT) - 1, 0, -1):
+            found.add(code & (1 << 8 * length) - 1 | length << _LENGTH_SHIFT)
+    return sorted(found)
+
+
+def predict(df: DataFrame, trees: list[ContextTrees], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, ``lang_pred``, ``score`` (0 to 1) and ``bits`` (the code length of the prediction)."""
     source = narrow(df, id=id_col, text=text_col)
     id_type = source.schema["id"].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(trees)  # bounded by max_contexts and max_languages
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            texts = [x.as_py() for x in batch.column("text")]
-            told = [model is not None and t is not None and any(map(str.isalpha, t)) for t in texts]
-            langs = np.full(len(texts), UNKNOWN, object)
-            scores, bits = np.zeros(len(texts)), np.zeros(len(texts))
-            at = np.flatnonzero(told)
-            if len(at):
-                data = [texts[i].encode() for i in at]
-                lengths = model.code_lengths(data)
-                best = lengths.argmin(1)
-                langs[at] = np.array(model.languages, object)[best]
-                least = lengths[np.arange(len(at)), best]
-                worse = (lengths - least[:, None]) / UNITS / np.array([max(1.0, len(d) / SCORE_BYTES) for d in data])[:, None]
-                scores[at] = 1 / np.exp2(-worse).sum(1)
-                bits[at] = least / UNITS
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(bits)], ["id", "lang_pred", "score", "bits"])
-
-    return source.mapInArrow(score, f"id {id_type}, lang_pred string, score double, bits double").withColumnRenamed("id", id_col)
+    state = f"id {id_type}, text string, lang string, least long, mass double"
+    source = source.select("id", "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("least"), F.lit(0.0).alias("mass"))
+    for number, block in enumerate(trees):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+        last = number + 1 == len(trees)
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            for batch in batches:
+                texts = [x.as_py() for x in batch.column("text")]
+                at = np.flatnonzero([t is not None and any(map(str.isalpha, t)) for t in texts])
+                langs = batch.column("lang").to_pylist()
+                least = batch.column("least").fill_null(-1).to_numpy(zero_copy_only=False).copy()
+                mass = batch.column("mass").to_numpy(zero_copy_only=False).copy()
+                if len(at):
+                    data = [texts[i].encode() for i in at]
+                    unit = UNITS * np.array([max(1.0, len(d) / SCORE_BYTES) for d in data])
+                    lengths = model.code_lengths(data)
+                    best = lengths.argmin(1)
+                    own = lengths[np.arange(len(at)), best]
+                    before = np.where(least[at] < 0, own, least[at])
+                    for i, k in zip(at[(least[at] < 0) | (own < least[at])], best[(least[at] < 0) | (own < least[at])], strict=True):
+                        langs[i] = model.languages[k]
+                    least[at] = np.minimum(before, own)
+                    # the others' shares, as seen from the shortest code so far
+                    mass[at] = mass[at] * np.exp2((least[at] - before) / unit) + np.exp2((least[at][:, None] - lengths) / unit[:, None]).sum(1)
+                kept = pa.nulls(len(texts), pa.string()) if last else batch.column("text")
+                yield pa.RecordBatch.from_arrays([batch.column("id"), kept, pa.array(langs, pa.string()), pa.array(least, mask=least < 0), pa.array(mass)], ["id", "text", "lang", "least", "mass"])
+
+        source = source.mapInArrow(score, state)
+        if not last:
+            source = materialise(source, "languages")  # a worker holds one block's tables at a time
+    found = F.col("lang").isNotNull()
+    return source.select(
+        F.col("id").alias(id_col),
+        F.when(found, F.col("lang")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(found, 1 / F.col("mass")).otherwise(0.0).alias("score"),
+        F.when(found, F.col("least") / UNITS).otherwise(0.0).alias("bits"),
+    )
 
 
 def held_out(id_col: str = "doc_id"):

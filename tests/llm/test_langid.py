@@ -86,5 +86,22 @@ def test_learn_and_predict(spark):
     assert np.mean([g["lang_pred"] == row[2] for g, row in zip(got, rows, strict=False)]) > 0.99
     assert [g["lang_pred"] for g in got[300:305]] == ["und", "und", "und", "aa", "bb"]
     assert all(0 <= g["score"] <= 1 for g in got)
-    assert langid.learn(df.limit(0)) is None
-    assert {g["lang_pred"] for g in langid.predict(df, None).collect()} == {"und"} and langid.predict(df.limit(0), trees).count() == 0
+    assert langid.learn(df.limit(0)) == []
+    assert {g["lang_pred"] for g in langid.predict(df, []).collect()} == {"und"} and langid.predict(df.limit(0), trees).count() == 0
+
+
+def test_every_language_is_learnt_in_blocks(spark):
+    """Eighty languages, one of them with very short texts; the blocks make no difference."""
+    r = random.Random(2)
+    rows = []
+    for k in range(80):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(r.choice(words) for _ in range(3 if k == 7 else 40)), f"l{k}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {}
+    for block in (16, 80):
+        trees = langid.learn(df, block=block)
+        assert len(trees) == 80 // block and sum(len(t.languages) for t in trees) == 80
+        found[block] = {x["doc_id"]: (x["lang_pred"], round(x["score"], 9), x["bits"]) for x in langid.predict(df, trees).collect()}
+    assert found[16] == found[80]
+    assert np.mean([found[16][i][0] == lang for i, _, lang in rows]) > 0.99
