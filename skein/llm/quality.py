@@ -10,7 +10,8 @@ Learning reads a bounded sample of labelled rows, about ``docs_per_label`` whole
 hash of the id, and runs on the driver; scoring reads whole texts in one narrow pass.
 
 Defined results: a null or empty text is one empty passage and gets the score of such; without labelled rows of both
-kinds every score is 0.5; a document labelled twice counts once for each row.
+kinds every score is 0.5; a document with both labels counts once for each; of several texts under a labelled id the
+least is learnt from, so that what is gathered stays within the sample's bound.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ _RUNS = re.compile(r"(.)\1+", re.S)
 
 def shape_of(word: str) -> str:
     """Letters by case and digits by class, other characters as they are, runs shortened to two."""
-    classes = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    classes = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUNS.sub(r"\1\1", classes)
 
 
@@ -180,7 +181,7 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
         return None
     share = F.when(F.col("label") == 1, F.lit(min(1.0, docs_per_label / sizes[1]))).otherwise(F.lit(min(1.0, docs_per_label / sizes[0])))
     drawn = told.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).orderBy("id", "label").limit(4 * docs_per_label)
-    rows = narrow(df, id=id_col, text=text_col).join(F.broadcast(drawn), "id")
+    rows = narrow(df, id=id_col, text=text_col).join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

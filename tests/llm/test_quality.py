@@ -1,7 +1,9 @@
+import math
 import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from skein.llm import quality
 
@@ -79,3 +81,54 @@ def test_encoding_in_slices(monkeypatch):
     whole = model.encode(codes)
     monkeypatch.setattr(quality, "SLICE", 2 * quality.PASSAGE)
     assert np.allclose(model.encode(codes), whole) and len(whole) == -(-len(codes) // quality.PASSAGE)
+
+
+def plain_score(weights, text):
+    """The model by its definition, word by word and passage by passage, in Python's own numbers."""
+    def shape(word):
+        out = ""
+        for c in word:
+            kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+            if not out.endswith(kind * 2):
+                out += kind
+        return out
+
+    w = {k: v.astype(float).tolist() for k, v in weights.items()}
+    words = (text or "").split()
+    vectors = []
+    for at in range(0, max(1, len(words)), quality.PASSAGE):
+        part = words[at : at + quality.PASSAGE]
+        codes = [(xxhash.xxh3_64_intdigest(x.lower().encode()) % quality.WORDS, quality.WORDS + xxhash.xxh3_64_intdigest(shape(x).encode()) % quality.SHAPES) for x in part]
+        dense = [len(set(codes)) / len(part) if part else 0.0, 1 - len(part) / quality.PASSAGE]
+        sums = []
+        for k in range(quality.HIDDEN):
+            mean = sum(w["E"][a][k] + w["E"][b][k] for a, b in codes) / len(part) if part else 0.0
+            sums.append(math.tanh(mean + dense[0] * w["D"][0][k] + dense[1] * w["D"][1][k] + w["b"][k]))
+        vectors.append(sums)
+    logits = []
+    for h in vectors:
+        total = 0.0
+        for g in range(quality.GATE):
+            v, u = (sum(x * w[name][k][g] for k, x in enumerate(h)) for name in ("V", "U"))
+            total += math.tanh(v) / (1 + math.exp(-u)) * w["w"][g]
+        logits.append(total)
+    shares = [math.exp(x - max(logits)) for x in logits]
+    z = [sum(a * h[k] for a, h in zip(shares, vectors, strict=True)) / sum(shares) for k in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, w["c"], strict=True)) - w["d"][0]))
+
+
+def test_scores_follow_the_definition(spark, tables):
+    documents, labels = tables
+    model = quality.fit(documents, labels.where(quality.learning_row()), epochs=3)
+    r = random.Random(4)
+    texts = [None, "", "a", "Ab1! " * 5, "!!!!!" + "x" * 5000 + "7" * 90, *[text_of(r, i % 2, n) for i, n in enumerate((1, 63, 64, 65, 700))]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["score"] for x in quality.score(df, model).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([plain_score(model.weights, t) for t in texts], abs=2e-4)
+
+
+def test_a_repeated_learning_id_is_gathered_once(spark):
+    df = spark.createDataFrame([(1, f"good text {i % 3}") for i in range(500)] + [(2, "BAD!! text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.fit(df, labels) is not None
+    assert quality.fit(df, labels.where("quality = 1")) is None
