@@ -11,13 +11,15 @@ a larger benchmark takes more passes). Texts are whole, hits are never capped.
 Items shorter than ``min_chars`` after normalising have no error budget and match at word boundaries only: where the
 item begins or ends with a letter or digit, the text has none right before or after.
 
-Defined results: null or empty texts match nothing; items that are null or empty after normalising are left out; repeated rows and repeated items give a result each; a pair that matches in several places
-has one row, the place with the least distance, the first of equals.
+Defined results: null or empty texts match nothing; items that are null or empty after normalising are left out;
+repeated rows and repeated items give a result each; a pair that matches in several places has one row, the place with
+the least distance, the first of equals.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -143,6 +145,18 @@ class Items:
                 yield (item_id, distance, *raw_span(text, max(0, end - back), end))
 
 
+_built: dict[int, Items] = {}
+
+
+def _items(shared, error_rate: float, min_chars: int) -> Items:
+    """The block's automaton, built once by a worker and held until it meets another block."""
+    key = hash((shared.value["name"], error_rate, min_chars))
+    if key not in _built:
+        _built.clear()
+        _built[key] = Items(shared.value["items"], error_rate, min_chars)
+    return _built[key]
+
+
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
     items = narrow(benchmark, id=item_id, text=item_text).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).head()[0] or 0
@@ -165,10 +179,10 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
     item_arrow = to_arrow_type(benchmark.schema[item_id].dataType)
     out = None
     for block in _blocks(benchmark, item_id, item_text, block_chars):
-        shared = spark.sparkContext.broadcast(block)  # at most about block_chars characters
+        shared = spark.sparkContext.broadcast({"name": uuid.uuid4().hex, "items": block})  # at most about block_chars characters
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, error_rate, min_chars)
+            items = _items(shared, error_rate, min_chars)
             for batch in batches:
                 rows, hits = [], []
                 for i, value in enumerate(batch.column("text")):
@@ -190,10 +204,10 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
 def drop_leaks(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.08, min_chars: int = 24, block_chars: int = 8_000_000) -> DataFrame:
     """The rows of ``df``, all columns as they are, in whose text no item is found."""
     for block in _blocks(benchmark, item_id, item_text, block_chars):
-        shared = df.sparkSession.sparkContext.broadcast(block)
+        shared = df.sparkSession.sparkContext.broadcast({"name": uuid.uuid4().hex, "items": block})
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, error_rate, min_chars)
+            items = _items(shared, error_rate, min_chars)
             for batch in batches:
                 yield batch.filter(pa.array([next(items.matches(x.as_py() or ""), None) is None for x in batch.column(text_col)], pa.bool_()))
 
