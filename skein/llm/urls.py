@@ -18,12 +18,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import discard, materialise, narrow
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,12 +82,17 @@ def _bit(word: Column, bit: Column) -> Column:
     return F.call_function("shiftrightunsigned", word, F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
 
 
-def _level(keys: DataFrame, n: int, rate: float, seed: int, max_bits: int) -> Level:
+def _hashes(rate: float) -> int:
+    return max(1, round(-math.log2(rate)))
+
+
+def _words(n: int, rate: float) -> int:
+    return max(1, math.ceil(n * _hashes(rate) / math.log(2) / 64))
+
+
+def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A filter over the ``n`` rows of ``keys`` with about this rate of false positives, made by aggregation."""
-    hashes = max(1, round(-math.log2(rate)))
-    words = max(1, math.ceil(n * hashes / math.log(2) / 64))
-    if 64 * words > max_bits:
-        raise ValueError(f"a filter of {64 * words} bits is over the limit of {max_bits}")
+    hashes, words = _hashes(rate), _words(n, rate)
     bits = F.array(*[F.pmod(F.xxhash64(F.col("key"), F.lit(seed), F.lit(j)), F.lit(64 * words)) for j in range(hashes)])
     each = keys.select(F.explode(bits).alias("bit")).select(F.floor(F.col("bit") / 64).alias("word"), F.pmod("bit", F.lit(64)).cast("int").alias("at"))
     rows = each.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits")).collect()  # at most ``words`` rows
@@ -106,32 +112,41 @@ class Cascade:
         return answer
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, *, universe_size: int, max_bits: int = 1 << 22, max_levels: int = 64) -> Cascade:
-    """``listed`` and ``universe`` have one column, ``key``. Level 1 has the rate that balances it against the rest,
-    the others one half. Only keys that a level errs on are gathered, by aggregation on their value."""
-    included = listed.distinct()
-    n = included.count()
-    levels: list[Level] = []
-    if not n:
-        return Cascade(())
-    rate = min(0.5, max(1e-9, math.sqrt(0.5) * n / max(1, universe_size)))
-    current, other, size = included, None, n
-    while size and len(levels) < max_levels:
-        level = _level(current, size, rate if not levels else 0.5, len(levels), max_bits)
-        levels.append(level)
-        source = universe if other is None else other
-        wrong = source.where(level.might_contain(F.col("key"))).distinct()
-        if other is None:
-            wrong = wrong.join(included, "key", "left_anti")
-        other, current = current, wrong
-        size = current.count()
-    if size:
-        raise ValueError("the cascade did not converge")
-    return Cascade(tuple(levels))
-
-
-def url_filter(df: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """Per row: ``id_col``, host, path, rule (the longest that fits, else null) and verdict."""
+def first_rate(n: int, universe_size: int) -> float:
+    """The rate of level 1 that balances it against the others, whose rate is one half."""
+    return min(0.5, max(1e-9, math.sqrt(0.5) * n / max(1, universe_size)))
+
+
+def build_cascades(listed: dict[str, DataFrame], universe: DataFrame, *, universe_size: int, max_levels: int = 64) -> dict[str, Cascade]:
+    """A cascade for each list. The lists and ``universe`` have one column, ``key``. The universe is read once: the keys
+    that some level 1 takes for listed are written, and all further levels come from these few."""
+    included = {name: keys.distinct() for name, keys in listed.items()}
+    sizes = {name: keys.count() for name, keys in included.items()}
+    first = {name: _level(included[name], n, first_rate(n, universe_size), 0) for name, n in sizes.items() if n}
+    cascades = {name: Cascade(()) for name in listed}
+    if not first:
+        return cascades
+    taken = reduce(Column.__or__, [level.might_contain(F.col("key")) for level in first.values()])
+    pool = materialise(universe.where(taken).distinct(), "keys")
+    for name, level in first.items():
+        levels = [level]
+        other, current = included[name], pool.where(level.might_contain(F.col("key"))).join(included[name], "key", "left_anti")
+        while (size := current.count()) and len(levels) < max_levels:
+            levels.append(_level(current, size, 0.5, len(levels)))
+            other, current = current, other.where(levels[-1].might_contain(F.col("key")))
+        if size:
+            raise ValueError("the cascade did not converge")
+        cascades[name] = Cascade(tuple(levels))
+    discard(pool)
+    return cascades
+
+
+def url_filter(df: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_bits: int = 1 << 22) -> DataFrame:
+    """Per row: ``id_col``, host, path, rule (the longest that fits, else null) and verdict.
+
+    Where level 1 of a list would have more than ``max_bits`` bits, the keys are divided by a hash into so many shards
+    that it has not, and the shards are gone through in as many passes, so that no plan carries more than one's filters.
+    """
     spark = df.sparkSession
     source = narrow(df, id=id_col, url=url_col).select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     verdicts = sorted({r.verdict for r in rules})
@@ -139,17 +154,23 @@ def url_filter(df: DataFrame, rules: Sequence[Rule], *, id_col: str = "page_id",
     verdict = F.lit(default)
     if rules:
         keys = candidate_keys(F.col("host"), F.col("path"), rules)
-        universe = source.select(F.explode(keys).alias("key"))
-        size = universe.agg(F.approx_count_distinct("key")).head()[0]  # sizes the first level only
-        source = source.withColumn("keys", keys)
-        for v in verdicts:
-            listed = spark.createDataFrame([(r.key,) for r in rules if r.verdict == v], "key string")
-            cascade = build_cascade(listed, universe, universe_size=size)
-            source = source.withColumn(f"in_{v}", F.filter("keys", cascade.contains))
-        longest = lambda a: F.aggregate(a, F.lit(""), lambda x, y: F.when(F.length(y) > F.length(x), y).otherwise(x))
-        for v in verdicts:
-            source = source.withColumn(f"in_{v}", longest(F.col(f"in_{v}")))
-        best = F.nullif(longest(F.array(*[F.col(f"in_{v}") for v in verdicts])), F.lit(""))
+        per_url = len({r.host.count(".") for r in rules}) * len({len(r.path) for r in rules})
+        size = per_url * df.count()  # sizes the first levels only
+        lists = {v: sorted({r.key for r in rules if r.verdict == v}) for v in verdicts}
+        shards = max(-(-64 * _words(len(x), first_rate(len(x), size)) // max_bits) for x in lists.values())
+        in_shard = lambda key, k: F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards)) == k if shards > 1 else F.lit(True)
+        longest = lambda a, b: F.aggregate(a, b, lambda x, y: F.when(F.length(y) > F.length(x), y).otherwise(x))
+        source = source.withColumn("keys", keys).select("*", *[F.lit("").alias(f"in_{v}") for v in verdicts])
+        for k in range(shards):
+            universe = source.select(F.explode("keys").alias("key")).where(in_shard(F.col("key"), k))
+            listed = {v: spark.createDataFrame([(x,) for x in lists[v]], "key string").where(in_shard(F.col("key"), k)) for v in verdicts}
+            cascades = build_cascades(listed, universe, universe_size=-(-size // shards))
+            for v in verdicts:
+                found = F.filter("keys", lambda key: in_shard(key, k) & cascades[v].contains(key))  # noqa: B023
+                source = source.withColumn(f"in_{v}", longest(found, F.col(f"in_{v}")))
+            if k + 1 < shards:
+                source = materialise(source, "urls")
+        best = F.nullif(F.array_max(F.array(*[F.struct(F.length(f"in_{v}").alias("n"), F.col(f"in_{v}").alias("key")) for v in verdicts]))["key"], F.lit(""))
         for v in verdicts:
             verdict = F.when(F.col("rule") == F.col(f"in_{v}"), F.lit(v)).otherwise(verdict)
     return source.withColumn("rule", best).select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"))

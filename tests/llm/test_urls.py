@@ -32,13 +32,24 @@ def test_rules(spark):
     assert all(r["verdict"] == "block" and r["rule"] is None for r in urls.url_filter(df, [], default="block").collect())
 
 
+def test_a_list_in_shards(spark):
+    """More rules than one filter may have bits for; urls of any length; repeated rows."""
+    r = random.Random(9)
+    rules = [urls.Rule(("allow", "block")[i % 2], f"h{i}.org", "/") for i in range(300)] + list(URL_RULES)
+    found = [f"http://{'a.' * r.randrange(3)}h{r.randrange(600)}.org/{'x' * r.randrange(5)}" for _ in range(400)] + URLS + [f"http://{'s.' * 30_000}example.com/en/{'y' * 100_000}"] * 2
+    df = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    got = urls.url_filter(df, rules, max_bits=1024).collect()
+    assert sorted(map(str, got)) == sorted(map(str, urls.url_filter(df, rules).collect()))
+    assert [tuple(x)[1:] for x in sorted(got)] == [brute(u, rules) for u in found]
+
+
 def test_cascade_is_exact(spark):
     r = random.Random(4)
     keys = [f"k{r.randrange(10**9)}" for _ in range(3000)]
     listed = set(keys[:400])
     universe = spark.createDataFrame([(k,) for k in keys], "key string")
     chosen = spark.createDataFrame([(k,) for k in listed], "key string")
-    cascade = urls.build_cascade(chosen, universe, universe_size=len(keys))
+    cascade = urls.build_cascades({"x": chosen, "none": chosen.limit(0)}, universe, universe_size=len(keys))["x"]
     assert len(cascade.levels) >= 3
     got = {k for k, inside in universe.select("key", cascade.contains(F.col("key"))).collect() if inside}
     assert got == listed
