@@ -1,8 +1,9 @@
 """Byte-pair encoding: token counts by heap merging, and encoding and decoding by a two-tier lookup.
 
-Both operators work on whole texts in Arrow batches. A white-space chunk's result does not depend on its
-neighbours when single spaces divide the text, so a bounded memo keeps the result of the method for each chunk; a
-text with longer runs of white space goes through the splitting pattern as one piece.
+Both operators work on whole texts in Arrow batches. With ``KNOWN``, the pattern of the public tokenizers, a white-space
+chunk's result does not depend on its neighbours when single spaces divide the text, so a bounded memo keeps the result
+of the method for each chunk; a text with longer runs of white space, and every text under any other pattern, goes
+through the splitting pattern as one piece.
 
 Defined results: a null text counts as the empty text (0 tokens, hash of no bytes); rows are never dropped, so
 repeated rows and null ids give one result each; columns other than the id and the text are ignored.
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from public_tokenizers import PATTERN as KNOWN
 from pyspark.sql import DataFrame
 
 from .common import narrow
@@ -35,13 +37,14 @@ MEMO_CHUNK = 64
 _TOUCHING_SPACE = re.compile(r" \s|\s ")
 
 
-def merge(symbols: list[int], pairs: dict[int, int], base: int, first: int) -> list[int]:
+def merge(symbols: list[int], pairs: dict[int, int], base: int, first: int) -> int:
     """Merge adjacent symbols, lowest rank first and leftmost among equals, with a heap over a linked list.
 
     ``pairs`` has the rank of a mergeable pair under ``left * base + right``; the merged symbol is the rank plus
-    ``first``. Returns the symbols that stay. A merge costs O(log n), whatever the length.
+    ``first`` and stands in the place of the left one, the right one's place gets -1. Returns how many merges were made.
+    A merge costs O(log n), whatever the length.
     """
-    n = len(symbols)
+    n, made = len(symbols), 0
     look = pairs.get
     heap = []
     for i in range(n - 1):
@@ -49,7 +52,7 @@ def merge(symbols: list[int], pairs: dict[int, int], base: int, first: int) -> l
         if rank is not None:
             heap.append(rank << 40 | i)
     if not heap:
-        return symbols
+        return 0
     heapq.heapify(heap)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
@@ -61,6 +64,7 @@ def merge(symbols: list[int], pairs: dict[int, int], base: int, first: int) -> l
             continue
         symbols[i] = merged = rank + first
         symbols[j] = -1
+        made += 1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
@@ -72,7 +76,7 @@ def merge(symbols: list[int], pairs: dict[int, int], base: int, first: int) -> l
             rank = look(symbols[h] * base + merged)
             if rank is not None:
                 heapq.heappush(heap, rank << 40 | h)
-    return [s for s in symbols if s >= 0]
+    return made
 
 
 class _Memo(dict):
@@ -99,9 +103,17 @@ class _Memo(dict):
         return value
 
 
+@lru_cache(maxsize=1)
+def _same_letters() -> bool:
+    """Whether Python and the pattern library, whose tables may be of different Unicode versions, know the same letters."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    return regex.findall(r"\p{L}", every) == [c for c in every if c.isalpha()]
+
+
 def _split(text: str, pattern) -> list[str] | Iterator[str]:
-    """The pre-tokens; the common shape of a space, letters and at most one ASCII mark needs no pattern."""
-    if len(text) > 1 and text[0] == " ":
+    """The pre-tokens; under ``KNOWN`` the common shape of a space, letters and at most one ASCII mark needs no
+    pattern."""
+    if len(text) > 1 and text[0] == " " and pattern.pattern == KNOWN and (text.isascii() or _same_letters()):
         if text[1:].isalpha():
             return [text]
         if text[-1] in ".,;:!?" and text[1:-1].isalpha():
@@ -156,10 +168,10 @@ class TokenCounter:
     def of_piece(self, piece: bytes) -> int:
         """Initial symbols minus merges."""
         initial = self.initial
-        return len(merge([initial[b] for b in piece], self.pairs, self.base, self.first))
+        return len(piece) - merge([initial[b] for b in piece], self.pairs, self.base, self.first)
 
     def _plain(self, text: str) -> int:
-        head, rest = _chunks(text)
+        head, rest = _chunks(text) if self.split.pattern == KNOWN else (text, [])
         return (self._pieces(head) if head else 0) + sum(map(self.memo.__getitem__, rest))
 
     def __call__(self, text: str | None) -> int:
@@ -177,6 +189,7 @@ class TokenCounter:
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level BPE file: printable Latin-1 stands for
     itself, the other bytes follow from U+0100 on."""
+    # fixed values of the file format
     own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
     others = [b for b in range(256) if b not in own]
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
@@ -296,7 +309,9 @@ class ByteBPE:
         if whole is not None:
             return [whole]
         initial = self.initial
-        return merge([initial[b] for b in piece], self.pairs, self.base, 0)
+        symbols = [initial[b] for b in piece]
+        merge(symbols, self.pairs, self.base, 0)
+        return [s for s in symbols if s >= 0]
 
     def _pieces(self, text: str) -> bytes:
         ids: list[int] = []
@@ -308,7 +323,7 @@ class ByteBPE:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        head, rest = _chunks(text)
+        head, rest = _chunks(text) if self.split.pattern == KNOWN else (text, [])
         return (self._pieces(head) if head else b"") + b"".join(map(self.memo.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
