@@ -10,8 +10,8 @@ the array, which the permuted common prefixes tell.
 Texts that are equal as a whole are brought down to one first and are removed entirely. An anchor with more than
 ``chunk`` runs, say in a passage that a third of the corpus has, is dealt out over several shards by a salt. What a
 shard then finds repeated is settled; the other windows of such an anchor meet once more by a hash of the whole
-window, together with one of each repeated kind, spread over all tasks. No run or window is dropped, and a shard's
-size does not depend on the input.
+window (128 bits), together with one of each repeated kind, spread over all tasks. No run or window is dropped, and a
+shard's size does not depend on the input.
 
 Defined results: a null text is empty; texts under ``length`` bytes lose nothing; a repeated row is another document;
 matches never cross documents; strings are judged on the input, not on what is left.
@@ -39,30 +39,31 @@ SLICE = 1 << 19
 #: Bytes of a shard's text, about.
 SHARD = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Odd, so that they have inverses; the second is for the other half of a window's hash.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power(name: str, base: int, n: int) -> np.ndarray:
-    held = _powers.get(name)
+def _power(base: int, n: int) -> np.ndarray:
+    held = _powers.get(base)
     if held is None or len(held) < n:
         size = max(n, SLICE + 4096)
         factors = np.full(size, base, np.uint64)
         factors[0] = 1
-        held = _powers[name] = np.multiply.accumulate(factors)
+        held = _powers[base] = np.multiply.accumulate(factors)
     return held[:n]
 
 
-def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of every window of ``size`` bytes; equal windows have equal hashes."""
+def window_hashes(data: np.ndarray, size: int, half: int = 0) -> np.ndarray:
+    """Either 64-bit half of a hash of every window of ``size`` bytes; equal windows have equal hashes."""
     n = len(data) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _power("base", _BASE, len(data)), out=sums[1:])
-    return mixed((sums[size:] - sums[:-size]) * _power("inverse", _INVERSE, n))
+    base = _BASES[half]
+    np.cumsum(_VALUES[data] * _power(base, len(data)), out=sums[1:])
+    return mixed((sums[size:] - sums[:-size]) * _power(pow(base, -1, 1 << 64), n))
 
 
 def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -164,8 +165,9 @@ class _Shard:
             self.salted.append(salted)
             self.size += len(segment)
 
-    def solve(self) -> Iterator[tuple[bytes | None, int, int, int | None]]:
-        """(text, begin, end, None) of what is covered; (text or None, start, 0, hash) of windows left to settle."""
+    def solve(self) -> Iterator[tuple[bytes | None, int, int, int | None, int | None]]:
+        """(text, begin, end, None, None) of what is covered; (text or None, start, 0, two halves of the hash) of windows
+        left to settle."""
         if not self.segments:
             return
         length = self.length
@@ -174,28 +176,28 @@ class _Shard:
                 same = np.ones(len(same), bool)
             for a, b in _stretches(same):
                 for text, at in owners:
-                    yield text, at + a, at + b + length, None
+                    yield text, at + a, at + b + length, None, None
             if salted:
-                hashes = window_hashes(np.frombuffer(segment, np.uint8), length).view(np.int64).tolist()
+                halves = (window_hashes(np.frombuffer(segment, np.uint8), length, half).view(np.int64).tolist() for half in (0, 1))
                 text, at = owners[0]
-                for i, (h, settled) in enumerate(zip(hashes, same.tolist(), strict=True)):
-                    yield None if settled else text, at + i, 0, h
+                for i, (h, g, settled) in enumerate(zip(*halves, same.tolist(), strict=True)):
+                    yield None if settled else text, at + i, 0, h, g
 
 
 def _settle(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows):
-            told: set[int] = set()  # of settled windows one of each kind is enough
+            told: set[tuple[int, int]] = set()  # of settled windows one of each kind is enough
             kept = []
             for r in rows:
                 if r[0] is None:
-                    if r[3] in told:
+                    if r[3:] in told:
                         continue
-                    told.add(r[3])
+                    told.add(r[3:])
                 kept.append(r)
-            columns = list(zip(*kept, strict=True)) if kept else [[], [], [], []]
-            types = (pa.binary(), pa.int32(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "begin", "end", "window"])
+            columns = list(zip(*kept, strict=True)) if kept else [[], [], [], [], []]
+            types = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "begin", "end", "window", "other"])
 
         shard, group, current, salted = _Shard(length), {}, None, False
         for batch in batches:
@@ -268,11 +270,11 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     if told.groupBy("key", "id").count().where("count > 1").limit(1).count():
         texts = materialise(texts.dropDuplicates(["key"]), "texts")
     segments = texts.mapInArrow(cut, "anchor long, salt int, salts int, segment binary, key binary, starts array<int>")
-    settled = segments.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_settle(length), "key binary, begin int, end int, window long")
+    settled = segments.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_settle(length), "key binary, begin int, end int, window long, other long")
     settled = materialise(settled, "settled")
-    open_ = settled.where("window is not null").select("key", "begin", "window")
-    again = open_.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window")
-    later = open_.where("key is not null").join(again, "window", "left_semi").select("key", "begin", (F.col("begin") + length).alias("end"))
+    open_ = settled.where("window is not null").select("key", "begin", "window", "other")
+    again = open_.groupBy("window", "other").agg(F.count("*").alias("times")).where("times > 1").select("window", "other")
+    later = open_.where("key is not null").join(again, ["window", "other"], "left_semi").select("key", "begin", (F.col("begin") + length).alias("end"))
     spans = settled.where("window is null").select("key", "begin", "end").unionAll(later)
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 

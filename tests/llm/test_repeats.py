@@ -32,12 +32,12 @@ def test_common_prefixes(s, cap, step):
 def brute(texts, length):
     count = Counter()
     for t in texts:
-        count.update(t[i : i + length] for i in range(len(t) - length + 1))
+        count.update(hash(t[i : i + length]) for i in range(len(t) - length + 1))
     out = []
     for t in texts:
         covered = bytearray(len(t))
         for i in range(len(t) - length + 1):
-            if count[t[i : i + length]] > 1:
+            if count[hash(t[i : i + length])] > 1:
                 covered[i : i + length] = b"\1" * length
         spans = sum(1 for i in range(len(t)) if covered[i] and (i == 0 or not covered[i - 1]))
         out.append((len(t), sum(covered), spans, hashlib.sha256(bytes(x for x, c in zip(t, covered, strict=True) if not c)).hexdigest()))
@@ -82,3 +82,23 @@ def test_against_brute_force(spark, texts, chunk):
 
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Passages across the bounds of slices, repeated in the same text, in another long one and in a short one."""
+    r = random.Random(12)
+    prose = lambda n: "".join(r.choices("abcdefghijklmnop \n", k=n))
+    passage = prose(2500)
+    at = repeats.SLICE - 1200
+    rows = [(0, prose(at) + passage + prose(3000) + passage[:500] + "é" * 10), (1, prose(at + 700) + passage[900:] + prose(100)), (2, passage[2000:]), (3, prose(800)), (4, prose(30) + passage[:399])]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = brute([t.encode() for _, t in rows], 400)
+    assert sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in got) == [(i, *e) for (i, _), e in zip(rows, expected, strict=True)]
+
+
+def test_halves_of_a_window_hash_differ():
+    data = np.frombuffer(random.Random(1).randbytes(5000), np.uint8)
+    first, second = (repeats.window_hashes(data, 400, half) for half in (0, 1))
+    assert len(set(first.tolist())) == len(set(second.tolist())) == 4601 and not (first == second).any()
+    again = repeats.window_hashes(data[100:900], 400, 1)
+    assert (again == second[100:501]).all()
