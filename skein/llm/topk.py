@@ -2,21 +2,26 @@
 
 Components become integers, floor(``scale`` * x). A vector x is given one more coordinate, sqrt(R^2 - |x|^2) with R
 the greatest norm, a query q gets 0; then |q - x|^2 = |q|^2 + R^2 - 2 <q, x>, so the highest products are the nearest
-points. The index keys each vector by its nearest pivot and its distance to it and keeps it sorted by both, which
-makes annuli around the pivots. A query that has a k-th best score t needs to look within the radius
-r = sqrt(|q|^2 + R^2 - 2t) only, and by the triangle inequality only at those annuli whose distance to the pivot is
-within r of the query's own: for each pivot the annuli are expanded from the nearest outwards until that bound stops.
-
-A first pass searches each query's own pivot only, which gives it a t that holds everywhere; the second searches all
-annuli with that bound and lowers r as it finds better. Scores are exact integers; the bounds carry a slack against
-rounding, so that ties are never lost. Pivots come from a bounded sample (``sample``); all rows are indexed.
-
-Queries go out in blocks of ``block`` rows against the whole index, so what is broadcast is bounded; a pivot's
-annulus with many rows (a vector that is very common) is dealt out over several partitions by a salt.
+points. The index keys each vector by its nearest pivot and its distance to it. A query that has a k-th best score t
+needs to look within the radius r = sqrt(|q|^2 + R^2 - 2t) only, and by the triangle inequality only at those annuli
+whose distance to the pivot is within r of the query's own.
+
+The index is cut into parts: annuli of a pivot, of up to ``part_bytes`` of vectors; one that has more (a vector that is
+very common) is dealt out by a salt. A search sends each query to the parts that it needs, by one exchange in which a
+part's rows come first, sorted by distance, then its queries, sorted by theirs. A part is expanded from each query's own
+distance outwards and stops, on either side, where the bound does. Every part gives the k best of each query at most,
+and these meet once more. A first search visits the annuli around each query's own distance to its own pivot only, which
+gives it a t that holds everywhere; the second visits all parts within that bound. Nothing but the pivots, the extents
+of the annuli (pivots x ``annuli`` rows at most) and the bounded sample that pivots are chosen from (``sample``) reaches
+the driver; all rows are indexed.
+
+Scores are exact: products that 53 bits hold are made in floating point, those that 63 bits hold in integers, others in
+Python's. The bounds carry a slack against rounding, so that ties are never lost.
 
 Defined results: vectors that are null, hold a null or a non-finite component, or have no id take no part; shorter
-vectors are filled up with zeros; rows with the query's id are not its candidates; repeated rows are candidates
-each; a query with fewer than k candidates gets all.
+vectors are filled up with zeros; components beyond a long count as its nearest end, and so do scores, which rank by
+that; rows with the query's id are not its candidates; repeated rows are candidates each; of several rows with a query's
+id the least vector asks; a query with fewer than k candidates gets all.
 """
 
 from __future__ import annotations
@@ -30,21 +35,23 @@ from pyspark.sql import functions as F
 
 from .common import materialise, narrow
 
-#: Rows of an annulus that are compared at once.
-ROWS = 1024
+#: Rows of a part that are compared at once, and queries.
+ROWS, QUERIES = 1024, 1024
+_LONG = np.iinfo(np.int64)
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> tuple[DataFrame, int]:
     """(id, vec array<long>) of the rows that take part, all of one length, and that length."""
     source = narrow(df, id=id_col, vec=vec_col).where("id is not null and vec is not null")
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    rows = source.where(F.coalesce(sound, F.lit(False))).select("id", F.transform("vec", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vec"))
+    whole = F.transform("vec", lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    rows = source.where(F.coalesce(sound, F.lit(False))).select(F.col("id").cast("long").alias("id"), whole.alias("vec"))
     width = rows.agg(F.max(F.size("vec"))).head()[0] or 0
     return rows.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("vec")))), width
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width).astype(np.float64)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width).astype(np.int64, copy=False)
 
 
 def _augmented(x: np.ndarray, square: float) -> np.ndarray:
@@ -67,130 +74,211 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T), 0))
 
 
+def products(x: np.ndarray, y: np.ndarray, greatest: int) -> np.ndarray:
+    """The inner products of integer rows as longs, exact; ``greatest``: no component is beyond. Past a long: its end."""
+    most = max(1, x.shape[1]) * greatest * greatest
+    if most < 1 << 53:
+        return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64)
+    if most <= _LONG.max:
+        return x @ y.T
+    exact = x.astype(object) @ y.astype(object).T
+    return np.clip(exact, _LONG.min, _LONG.max).astype(np.int64)
+
+
+class Part:
+    """The rows of a part in the order of their distance to its pivot."""
+
+    def __init__(self, distance: np.ndarray, ids: np.ndarray, vectors: np.ndarray, square: float, greatest: int):
+        self.distance, self.ids, self.vectors, self.square, self.greatest = distance, ids, vectors, square, greatest
+        self.stretches = -(-len(ids) // ROWS)
+
+    def best(self, qid: np.ndarray, query: np.ndarray, distance: np.ndarray, bound: np.ndarray, bounded: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
+        """(query id, id, score) of the k best at most for queries sorted by their distance to the pivot; ``bound`` is
+        a score that k rows reach, where ``bounded``."""
+        held: list[list[tuple[int, int]]] = [[] for _ in qid]
+        norms = (query.astype(np.float64) ** 2).sum(1)
+        reach = norms + self.square + 1e-6 * (1 + norms + self.square)
+        bound, bounded = bound.copy(), bounded.copy()
+
+        def open_(at: np.ndarray, gap: np.ndarray) -> np.ndarray:
+            """Which of the queries ``at`` may find something beyond a distance ``gap`` of their own."""
+            return ~bounded[at] | (reach[at] - gap * gap >= 2.0 * bound[at])
+
+        def compare(stretch: int, at: np.ndarray) -> None:
+            rows = slice(stretch * ROWS, (stretch + 1) * ROWS)
+            ids = self.ids[rows]
+            score = products(query[at], self.vectors[rows], self.greatest)
+            good = (ids != qid[at][:, None]) & (~bounded[at][:, None] | (score >= bound[at][:, None]))
+            for row in np.flatnonzero(good.any(1)):
+                i, some = at[row], good[row]
+                found, names = score[row][some], ids[some]
+                order = np.lexsort((names, -1 - found))[:k]  # -1 - x is its own order reversed, without overflow
+                held[i] = sorted([*held[i], *zip((-1 - found[order]).tolist(), names[order].tolist(), strict=True)])[:k]
+                if len(held[i]) == k:
+                    last = -1 - held[i][-1][0]
+                    bound[i], bounded[i] = (max(bound[i], last) if bounded[i] else last), True
+
+        first = np.minimum(np.searchsorted(self.distance, distance) // ROWS, self.stretches - 1)
+        for start in np.unique(first):
+            group = np.flatnonzero(first == start)
+            compare(start, group)
+            low, high = int(start) - 1, int(start) + 1
+            while low >= 0 or high < self.stretches:
+                # beyond an end that no query of the group is open to, the gaps only grow
+                below = distance[group] - self.distance[(low + 1) * ROWS - 1] if low >= 0 else np.full(len(group), np.inf)
+                above = self.distance[high * ROWS] - distance[group] if high < self.stretches else np.full(len(group), np.inf)
+                down = low >= 0 and (high >= self.stretches or below.min() <= above.min())
+                gap = np.maximum(below if down else above, 0)
+                wanted = group[open_(group, gap)]
+                if len(wanted):
+                    compare(low if down else high, wanted)
+                    low, high = (low - 1, high) if down else (low, high + 1)
+                elif down:
+                    low = -1
+                else:
+                    high = self.stretches
+        for i, found in enumerate(held):
+            for score, name in found:
+                yield int(qid[i]), name, -1 - score
+
+
 class PivotIndex:
-    """The index: a table (pivot, distance, id, vec) sorted within its partitions, and what a search needs to know."""
+    """The index: a table (part, distance, id, vec) and what a search needs to know."""
 
-    def __init__(self, rows: DataFrame, width: int, *, pivots: int = 64, sample: int = 4096, annulus_rows: int = 32_768, annuli: int = 32):
+    def __init__(self, rows: DataFrame, width: int, *, pivots: int = 64, sample: int = 4096, part_bytes: int = 1 << 25, annuli: int = 32, least_part: int = 1024):
         self.width = width
-        spark = rows.sparkSession
-        n, square = rows.agg(F.count("*"), F.max(F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x))).head()
-        self.n, self.square = n, float(square or 0.0)
+        square = F.aggregate("vec", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
+        greatest = F.greatest(F.array_max("vec"), -1 - F.array_min("vec"))
+        n, square, greatest = rows.agg(F.count("*"), F.max(square), F.max(greatest)).head()
+        self.n, self.square, self.greatest = n, float(square or 0.0), (greatest or 0) + 1
         if not n:
             return
         share = min(1.0, sample / n)
         drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= share * (1 << 30)).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
         drawn = drawn or rows.limit(1).collect()
-        self.pivots = choose_pivots(_augmented(np.array([r["vec"] for r in drawn], np.float64), self.square), pivots)
-        shared, square = spark.sparkContext.broadcast(self.pivots), self.square
-        id_type = rows.schema["id"].dataType.simpleString()
+        self.pivots = choose_pivots(_augmented(np.array([r["vec"] for r in drawn], np.float64).reshape(len(drawn), width), self.square), pivots)
+        square, centres = self.square, self.pivots
 
         def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                d = _distances(_augmented(_matrix(batch.column("vec"), width), square), shared.value)
+                d = _distances(_augmented(_matrix(batch.column("vec"), width).astype(np.float64), square), centres)
                 at = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(at)), at]), batch.column("id"), batch.column("vec")], ["pivot", "distance", "id", "vec"])
 
-        keyed = rows.mapInArrow(key, f"pivot int, distance double, id {id_type}, vec array<long>")
+        keyed = rows.mapInArrow(key, "pivot int, distance double, id long, vec array<long>")
         ring = F.floor(F.col("distance") / F.lit(2 * float(np.sqrt(self.square)) / annuli + 1e-9)).cast("int")
-        keyed = materialise(keyed.withColumn("ring", ring), "keyed")
-        sizes = keyed.groupBy("pivot", "ring").count()  # at most pivots x annuli rows
-        target = max(1024, min(annulus_rows, n // 64))
-        parts = sizes.select("pivot", "ring", F.ceil(F.col("count") / target).cast("int").alias("salts"))
-        dealt = keyed.join(F.broadcast(parts), ["pivot", "ring"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
-        self.table = materialise(dealt.repartition("pivot", "ring", "salt").sortWithinPartitions("pivot", "distance").select("pivot", "distance", "id", "vec"), "pivot_index")
-
-
-def _search(index: PivotIndex, block: dict[str, np.ndarray], k: int, id_type: str, own: bool) -> DataFrame:
-    """(query, id, score): for every query of the block and partition of the index the k best at most."""
-    spark = index.table.sparkSession
-    shared = spark.sparkContext.broadcast(block | {"pivots": index.pivots})
-    square, width = index.square, index.width
+        self.table = materialise(keyed.withColumn("ring", ring), "pivot_index")
+        extents = self.table.groupBy("pivot", "ring").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"))
+        self._cut(sorted(map(tuple, extents.collect())), max(least_part, min(part_bytes // (8 * max(1, width)), n // 64)))
+
+    def _cut(self, extents: list[tuple[int, int, int, float, float]], rows: int) -> None:
+        """Neighbouring annuli of a pivot become parts of about ``rows``; larger ones are divided by salts."""
+        self.parts: list[list] = []  # pivot, rows, low, high, first number, salts
+        self.rings: dict[tuple[int, int], int] = {}
+        for pivot, ring, n, low, high in extents:
+            last = self.parts[-1] if self.parts else None
+            if last is None or last[0] != pivot or last[1] + n > rows:
+                self.parts.append([pivot, 0, low, high])
+                last = self.parts[-1]
+            last[1], last[3] = last[1] + n, high
+            self.rings[pivot, ring] = len(self.parts) - 1
+        number = 0
+        for part in self.parts:
+            salts = -(-part[1] // rows)
+            part += [number, salts]
+            number += salts
+        self.numbers = number
+
+    def dealt(self) -> DataFrame:
+        """The table with the number of each row's part."""
+        places = [(p, r, self.parts[i][4], self.parts[i][5]) for (p, r), i in self.rings.items()]  # pivots x annuli rows at most
+        known = self.table.sparkSession.createDataFrame(places, "pivot int, ring int, first int, salts int")
+        return self.table.join(F.broadcast(known), ["pivot", "ring"]).select((F.col("first") + F.pmod(F.xxhash64("id", "distance"), F.col("salts"))).cast("int").alias("part"), "distance", "id", "vec")
+
+
+def _search(index: PivotIndex, queries: DataFrame, k: int, own: bool) -> DataFrame:
+    """(query, id, score, rank): the k best rows for each of ``queries`` (id, vec, bound), among the annuli around its
+    own distance to its own pivot, or among all that are within its bound."""
+    width, square, pivots, greatest = index.width, index.square, index.pivots, index.greatest
+    pivot_of, count, low, high, first, salts = (np.array(c) for c in zip(*index.parts, strict=True))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERIES):
+                some = batch.slice(at, QUERIES)
+                vec = _matrix(some.column("vec"), width).astype(np.float64)
+                to_pivot = _distances(np.column_stack([vec, np.zeros(len(vec))]), pivots)
+                away = to_pivot[:, pivot_of]
+                gap = np.maximum(np.maximum(low - away, away - high), 0)
+                if own:
+                    gap = np.where(pivot_of == to_pivot.argmin(1)[:, None], gap, np.inf)
+                    order = np.argsort(gap, axis=1, kind="stable")
+                    before = np.cumsum(count[order], axis=1) - count[order]  # rows of nearer parts
+                    wanted = np.zeros(gap.shape, bool)
+                    np.put_along_axis(wanted, order, before < 32 * k, axis=1)
+                    wanted &= np.isfinite(gap)
+                else:
+                    norms = (vec * vec).sum(1)
+                    bound = some.column("bound")
+                    least = np.where(bound.is_valid().to_numpy(zero_copy_only=False), bound.fill_null(0).to_numpy().astype(np.float64), -np.inf)
+                    wanted = (norms + square)[:, None] - gap * gap + 1e-6 * (1 + norms + square)[:, None] >= 2 * least[:, None]
+                which, part = np.nonzero(wanted)
+                times = salts[part]
+                which, part = np.repeat(which, times), np.repeat(part, times)
+                salt = np.arange(len(part)) - np.repeat(np.cumsum(times) - times, times)
+                for begin in range(0, len(which), 8 * ROWS):
+                    w, p, s = (x[begin : begin + 8 * ROWS] for x in (which, part, salt))
+                    taken = some.take(pa.array(w))
+                    yield pa.RecordBatch.from_arrays([pa.array((first[p] + s).astype(np.int32)), pa.array(away[w, p]), taken.column("id"), taken.column("vec"), taken.column("bound")], ["part", "distance", "id", "vec", "bound"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        queries, ids = q["vec"], q["id"]
-        norms = (queries * queries).sum(1)
-        to_pivot = _distances(np.column_stack([queries, np.zeros(len(queries))]), q["pivots"])
-        bound = q["bound"].copy()
-        held_score = np.full((len(queries), k), -np.inf)
-        held_id = np.full((len(queries), k), np.iinfo(np.int64).max)
-        exact = width * max(1.0, square) < 2.0**52 and norms.max(initial=0) < 2.0**52
-
-        def compare(pivot: int, distance: np.ndarray, got: np.ndarray, x: np.ndarray, wanted: np.ndarray) -> None:
-            """One stretch of an annulus against the queries that its distances concern."""
-            lower = np.maximum(np.maximum(to_pivot[wanted, pivot] - distance[-1], distance[0] - to_pivot[wanted, pivot]), 0)
-            slack = 1e-6 * (1 + norms[wanted] + square)
-            wanted = wanted[norms[wanted] + square - lower * lower + slack >= 2 * bound[wanted]]
-            if not len(wanted):
-                return
-            score = queries[wanted] @ x.T if exact else (queries[wanted].astype(np.int64) @ x.astype(np.int64).T).astype(object)
-            score = np.where(ids[wanted][:, None] == got, -np.inf, score.astype(np.float64) if exact else score)
-            some = (score >= bound[wanted][:, None]).any(1)
-            wanted, score = wanted[some], score[some]
-            if not len(wanted):
-                return
-            every = np.concatenate([held_score[wanted], score], axis=1)
-            names = np.concatenate([held_id[wanted], np.broadcast_to(got, score.shape)], axis=1)
-            for row, i in enumerate(wanted):
-                top = np.lexsort((names[row], -every[row].astype(np.float64)))[:k] if exact else np.array(sorted(range(len(names[row])), key=lambda j, r=row: (-every[r][j], names[r][j]))[:k])
-                held_score[i], held_id[i] = every[row][top], names[row][top]
-                bound[i] = max(bound[i], held_score[i, -1])
-
+        current, pieces, ready = None, [], None
         for batch in batches:
-            pivot = batch.column("pivot").to_numpy()
-            distance = batch.column("distance").to_numpy()
-            got = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            x = _matrix(batch.column("vec"), width)
-            cuts = [0, *(np.flatnonzero(np.diff(pivot)) + 1).tolist(), len(pivot)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
+            number, asks = batch.column("part").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(number)], strict=True):
                 if a == b:
                     continue
-                p = int(pivot[a])
-                stretches = [(i, min(i + ROWS, b)) for i in range(a, b, ROWS)]
-                wanted = np.flatnonzero(q["pivot"] == p) if own else np.arange(len(queries))
-                if not len(wanted):
+                if number[a] != current:
+                    current, pieces, ready = number[a], [], None
+                some = batch.slice(a, b - a)
+                distance, ids = some.column("distance").to_numpy(), some.column("id").to_numpy()
+                vectors = _matrix(some.column("vec"), width)
+                if not asks[a]:
+                    pieces.append((distance, ids, vectors))
                     continue
-                middle = np.median(to_pivot[wanted, p])
-                for i, j in sorted(stretches, key=lambda s: max(middle - distance[s[1] - 1], distance[s[0]] - middle, 0)):  # the nearest first, then outwards
-                    compare(p, distance[i:j], got[i:j], x[i:j], wanted)
-        at, which = np.nonzero(held_score > -np.inf)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(held_id[at, which]), pa.array(held_score[at, which].astype(np.int64))], ["query", "id", "score"])
-
-    return index.table.mapInArrow(expand, f"query {id_type}, id {id_type}, score long")
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
+                if ready is None and pieces:
+                    ready, pieces = Part(*(np.concatenate(x) for x in zip(*pieces, strict=True)), square, greatest), []
+                if ready is None:
+                    continue  # a salt that no row was dealt to
+                bounded = some.column("bound").is_valid().to_numpy(zero_copy_only=False)
+                bound = some.column("bound").fill_null(0).to_numpy()
+                for at in range(0, b - a, QUERIES):
+                    part = slice(at, at + QUERIES)
+                    found = list(ready.best(ids[part], vectors[part], distance[part], bound[part], bounded[part], k))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["query", "id", "score"])
+
+    columns = "part int, distance double, id long, vec array<long>, bound long"
+    sent = queries.select("id", "vec", "bound").mapInArrow(send, columns).withColumn("asks", F.lit(True))
+    rows = index.dealt().select("part", "distance", "id", "vec", F.lit(None).cast("long").alias("bound"), F.lit(False).alias("asks"))
+    met = rows.unionByName(sent).repartition("part").sortWithinPartitions("part", "asks", "distance")
+    found = met.mapInArrow(expand, "query long, id long, score long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(df: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, scale: int = 1024, block: int = 32_768, **index_options) -> DataFrame:
+def top_k(df: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, scale: int = 1024, **index_options) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``id_col`` and ``score`` of the k best rows for each row where ``queries``
     holds (an expression on ``id_col``); equal scores go to the smaller id. Ids are integers."""
     spark = df.sparkSession
     rows, width = integer_vectors(df, id_col, vec_col, scale)
     index = PivotIndex(rows, width, **index_options)
-    empty = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
     if not index.n:
-        return empty
-    asked = rows.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col).where(queries).withColumnRenamed(id_col, "id").distinct()
-    n = asked.count()
-    blocks = -(-n // block)
-    out = None
-    for b in range(blocks):
-        part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).orderBy("id").collect()
-        if not part:
-            continue
-        vec = np.array([r["vec"] for r in part], np.float64).reshape(len(part), width)
-        held = {"id": np.array([r["id"] for r in part], np.int64), "vec": vec, "bound": np.full(len(part), -np.inf)}
-        held["pivot"] = _distances(np.column_stack([vec, np.zeros(len(vec))]), index.pivots).argmin(1)
-        first = _best(_search(index, held, k, "long", own=True), k).where(F.col("rank") == k).select("query", "score")
-        bound = dict(map(tuple, first.collect()))  # at most a row for each query of the block
-        held["bound"] = np.array([bound.get(i, -np.inf) for i in held["id"].tolist()], np.float64)
-        found = _best(_search(index, held, k, "long", own=False), k)
-        found = found if blocks == 1 else materialise(found, "top_k")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return empty
-    return out.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+        return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score long")
+    stored = index.table.select(F.col("id").alias(id_col), "vec")
+    asked = stored.where(queries).select(F.col(f"`{id_col}`").alias("id"), "vec").groupBy("id").agg(F.min("vec").alias("vec"))
+    asked = materialise(asked.withColumn("bound", F.lit(None).cast("long")), "queries")
+    bounds = _search(index, asked, k, own=True).where(F.col("rank") == k).select(F.col("query").alias("id"), F.col("score").alias("bound"))
+    found = _search(index, asked.drop("bound").join(bounds, "id", "left"), k, own=False)
+    return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
