@@ -13,6 +13,11 @@ shard then finds repeated is settled; the other windows of such an anchor meet o
 window (128 bits), together with one of each repeated kind, spread over all tasks. No run or window is dropped, and a
 shard's size does not depend on the input.
 
+Passages of few long or many short words are told beside this, and nothing is removed for them: of every ``PASSAGE``
+words in a row one run of ``RUN`` words is chosen, that whose first word sorts first, so that the same run is chosen
+wherever a passage of so many words stands. ``n_shared_runs`` counts a text's chosen runs that are chosen in
+another text, or at two places in this one.
+
 Defined results: a null text is empty; texts under ``length`` bytes lose nothing; a repeated row is another document;
 matches never cross documents; strings are judged on the input, not on what is left.
 """
@@ -20,6 +25,7 @@ matches never cross documents; strings are judged on the input, not on what is l
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +45,9 @@ SLICE = 1 << 19
 #: Bytes of a shard's text, about.
 SHARD = 1 << 20
 
+#: Words of a passage that is told, and of the runs that tell it.
+PASSAGE, RUN = 51, 32
+
 #: Odd, so that they have inverses; the second is for the other half of a window's hash.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -124,6 +133,30 @@ def by_anchor(anchors: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> tuple
     return list(found), [x for x, _ in found.values()], [x for _, x in found.values()]
 
 
+def chosen_runs(data: bytes, passage: int = PASSAGE, run: int = RUN) -> tuple[np.ndarray, int]:
+    """Hashes (the first 8 bytes of MD5) of the runs of words that are chosen at one place of the text, and how many
+    others are chosen. Words are divided by ASCII white space."""
+    words = data.split()
+    n, width = len(words), passage - run + 1
+    if n < passage:
+        return np.empty(0, np.uint64), 0
+    # of the places of a passage that a run can begin at, the one with the least word, the first of equals
+    places: list[int] = []
+    least: deque[int] = deque()
+    for i in range(n - run + 1):
+        word = words[i]
+        while least and words[least[-1]] > word:
+            least.pop()
+        least.append(i)
+        if least[0] <= i - width:
+            least.popleft()
+        if i >= width - 1 and (not places or places[-1] != least[0]):
+            places.append(least[0])
+    heads = b"".join([hashlib.md5(b" ".join(words[p : p + run])).digest()[:8] for p in places])
+    values, times = np.unique(np.frombuffer(heads, ">u8").astype(np.uint64), return_counts=True)
+    return values[times == 1], int((times > 1).sum())
+
+
 def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
     """[first, last] of the runs of true values."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -217,14 +250,14 @@ def _settle(length: int):
 
 
 def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, chunk: int = 2000, keep_text: bool = False) -> DataFrame:
-    """Per row: ``id_col``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256`` and, with
-    ``keep_text``, ``kept`` (binary: the remaining bytes)."""
+    """Per row: ``id_col``, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256``,
+    ``n_shared_runs`` and, with ``keep_text``, ``kept`` (binary: the remaining bytes)."""
     source = narrow(df, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     id_type = source.schema["id"].dataType.simpleString()
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, digests, anchors, lows, highs = [], [], [], [], [], []
+            n, keys, digests, anchors, lows, highs, runs, twice = [], [], [], [], [], [], [], []
             for value in batch.column("text"):
                 data = value.as_py().encode()
                 a, b, c = by_anchor(*window_runs(data, length))
@@ -234,14 +267,22 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 anchors.append(a)
                 lows.append(b)
                 highs.append(c)
+                once, again = chosen_runs(data)
+                runs.append(once.view(np.int64))
+                twice.append(again)
             places = pa.list_(pa.list_(pa.int32()))
-            arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests), pa.array(anchors, pa.list_(pa.int64())), pa.array(lows, places), pa.array(highs, places)]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "key", "digest", "anchor", "low", "high"])
+            arrays = [batch.column("id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(digests), pa.array(anchors, pa.list_(pa.int64())), pa.array(lows, places), pa.array(highs, places), pa.array(runs, pa.list_(pa.int64())), pa.array(twice, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "key", "digest", "anchor", "low", "high", "runs", "twice"])
 
-    told = materialise(source.mapInArrow(anchor, f"id {id_type}, n long, key binary, digest string, anchor array<long>, low array<array<int>>, high array<array<int>>"), "runs")
+    told = materialise(source.mapInArrow(anchor, f"id {id_type}, n long, key binary, digest string, anchor array<long>, low array<array<int>>, high array<array<int>>, runs array<long>, twice int"), "runs")
     copies = materialise(told.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("one")), "copies")
 
-    # the runs of one of each text, and the anchors that occur more than once
+    # the chosen runs that one text alone has; a text goes by a hash here, and by its key and that where it is told
+    text = F.xxhash64("key")
+    owned = told.select(text.alias("text"), F.explode("runs").alias("run")).groupBy("run").agg(F.min("text").alias("text"), F.max("text").alias("last")).where("text = last")
+    owned = materialise(owned.groupBy("text").agg(F.count("*").alias("owned")), "owned")
+
+    # the runs of windows of one of each text, and the anchors that occur more than once
     single = told.select("id", "key", "anchor", "low", "high").join(copies, "key").where(F.col("id").eqNullSafe(F.col("one"))).dropDuplicates(["key"])
     runs = single.select("key", "id", F.inline(F.arrays_zip("anchor", "low", "high")))
     often = runs.groupBy("anchor").agg(F.sum(F.size("low")).alias("times")).where("times > 1")
@@ -301,7 +342,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())], ["key", "removed", "count", "left", "kept"])
 
     cuts = texts.select("key", "text").join(spans, "key").mapInArrow(take, "key binary, removed long, count long, left string, kept binary")
-    out = told.select("id", "n", "key", "digest").join(copies.where("copies > 1").select("key", "copies"), "key", "left").join(cuts, "key", "left")
+    out = told.select("id", "n", "key", "digest", F.size("runs").alias("chosen"), "twice", text.alias("text")).join(copies.where("copies > 1").select("key", "copies"), "key", "left").join(cuts, "key", "left")
+    out = out.join(owned, "text", "left")
     if keep_text:
         out = out.join(source.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), F.col("text").cast("binary").alias("whole")).dropDuplicates(["key"]), "key", "left")
     copied = F.coalesce((F.col("copies") > 1) & (F.col("n") >= length), F.lit(False))
@@ -312,6 +354,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.when(copied, 1).otherwise(F.coalesce("count", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("left", "digest")).alias("kept_sha256"),
     ]
+    columns.append((F.col("twice") + F.col("chosen") - F.when(F.col("copies") > 1, 0).otherwise(F.coalesce("owned", F.lit(0)))).cast("long").alias("n_shared_runs"))
     if keep_text:
         columns.append(F.when(copied, F.lit(b"")).otherwise(F.coalesce("kept", "whole")).alias("kept"))
     return out.select(*columns)

@@ -80,6 +80,27 @@ def test_against_brute_force(spark, texts, chunk):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_passages_by_words(spark):
+    """Passages of 51 words tell wherever they stand, also where they are under 400 bytes; 31 common words do not."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghijklmno", k=r.randint(2, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for k in range(40):
+        passage = prose(51)
+        rows += [(10 * k + i, prose(r.randint(0, 90)) + " " + passage + "\n" + prose(r.randint(0, 90))) for i in range(2)]
+        rows += [(10 * k + 2, prose(100)), (10 * k + 3, " ".join(passage.split()[10:41]) + prose(60))]
+    twice = prose(51)
+    rows += [(1000, f"{prose(70)} {twice} {prose(70)} {twice}"), (1001, prose(50)), (1002, twice[::-1]), (1003, None)]
+    rows += [(1010, prose(80))] * 2
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    told = {x["doc_id"]: x["n_shared_runs"] for x in got}
+    assert len(got) == len(rows)
+    assert all((told[i] > 0) == (i % 10 < 2) for i in range(400) if i in told)
+    assert told[1000] > 0 and told[1010] > 0 and not any(told[i] for i in (1001, 1002, 1003))
+    assert any(0 < x["n_shared_runs"] and not x["n_removed"] for x in got)
+
+
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
