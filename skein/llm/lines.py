@@ -1,26 +1,24 @@
 """Line dedup by distinct-site spread, in DataFrame functions only.
 
-A line is boilerplate if it stands on at least ``min_sites`` sites and among ever different neighbours. The spread of
-a line is measured by a HyperLogLog sketch of its sites, made for each line hash by aggregation, so that partial
-sketches merge before the shuffle; where the estimate is within ``margin`` of the threshold, the sites are counted
-exactly. Copies of a document carry their lines to other sites, too, but with the same lines around them. So
-each surrounding (the lines before and after) is first brought down to one row with one site, and a line counts as
-boilerplate only if at least ``min_varied`` of its occurrences have surroundings of their own; this keeps the lines
-of copied documents, which are for document dedup to judge.
-
-That is the rule of the registered query, whose SQL defines it. It keeps the inner lines of a block of boilerplate,
-as their neighbours repeat, and sees one site of each surrounding. ``spread_lines`` is the rule without these limits,
-for callers without such a contract: a line goes if it stands on ``min_sites`` sites, all counted, and in that many
-independent texts. A text is independent if other texts have half of its runs of three words at most, by a sample of
-its ``SKETCH`` smallest hashes of runs. Exact copies thus tell as one text and near copies not at all; nor do they
-speak against a line that other texts show to be boilerplate.
-
-Only hashes travel: the lines' text is read again in the last pass, where each document gets the list of its
-positions to remove. Skew: every aggregation is partial before its shuffle, a line that stands in a third of all rows
-is one row a task by then; the joins are on surroundings or documents' keys or against the list of boilerplate.
-
-Defined results: a null text stays null with 0 lines; lines are compared without white space at their ends, empty
-lines are never removed; a null site is no site; repeated rows each get the same result.
+A line is boilerplate if it stands on at least ``min_sites`` distinct sites; it goes out of every text. The spread of a
+line is measured by a HyperLogLog sketch of the sites of all its occurrences, one for each line hash, made by one
+aggregation: partial sketches merge before the shuffle. Where the estimate is within ``margin`` of the threshold, the
+distinct sites are counted exactly.
+
+Copies of a document carry their lines to other sites, too. Where copies are to be judged later, by document dedup,
+``independent`` asks in addition that a line stands in ``min_sites`` independent texts. A text is independent if other
+texts have half of its runs of three words at most, by a sample of its ``SKETCH`` smallest hashes of runs. Exact copies
+thus tell as one text and near copies not at all; nor do they speak against a line that other texts show to be
+boilerplate.
+
+Only 64-bit hashes of lines travel: the lines' text is read again in the last pass, where each document gets the list of
+its positions to remove. Skew: every aggregation is partial before its shuffle, so a line that stands in a third of all
+rows is one row a task by then; the joins are plain ones against the list of boilerplate, which adaptive execution
+splits, or on documents' keys.
+
+Defined results: a null text stays null with 0 lines; lines are divided by line feeds and compared without blanks, tabs
+and carriage returns at their ends, empty lines are never removed; a null site is no site; repeated rows each get the
+same result, and rows with one id but different texts are told apart; columns of any other names come back as they are.
 """
 
 from __future__ import annotations
@@ -37,28 +35,21 @@ SKETCH = 32
 
 
 def _lines(source: DataFrame) -> DataFrame:
-    """id, digest (of the text), site, at, line, around (hashes); without empty lines."""
+    """id, digest (of the text), site, at, line (hash); without empty lines."""
     trimmed = F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
     arrays = source.where("text is not null").select("id", F.sha2("text", 256).alias("digest"), "site", trimmed.alias("lines"))
-    hashed = arrays.select("id", "digest", "site", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
-    each = F.transform(
-        "hashes",
-        lambda h, i: F.struct(i.alias("at"), h.alias("line"), F.xxhash64(F.get("hashes", i - 1), F.get("hashes", i + 1), i == 0).alias("around"), F.get("lines", i).eqNullSafe("").alias("empty")),
-    )
-    return hashed.select("id", "digest", "site", F.inline(each)).where("not empty").drop("empty")
-
-
-def boilerplate_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_varied: float = 0.5, margin: float = 0.1) -> DataFrame:
-    """``line``: the hashes of the lines to remove."""
-    lines = _lines(narrow(df, id=id_col, text=text_col, site=site_col).where("site is not null"))
-    surroundings = lines.groupBy("line", "around").agg(F.count("*").alias("times"), F.min("site").alias("site"))
-    varied = surroundings.groupBy("line").agg(F.count("*").alias("kinds"), F.sum("times").alias("times"))
-    frequent = varied.where((F.col("kinds") >= min_sites) & (F.col("kinds") >= F.col("times") * min_varied)).select("line")
-    sites = surroundings.join(frequent, "line", "left_semi").select("line", "site")
-    spread = sites.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_K)).alias("spread"))
+    each = F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.when(x != "", F.xxhash64(x)).alias("line")))
+    return arrays.select("id", "digest", "site", F.inline(each)).where("line is not null")
+
+
+def spread_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, margin: float = 0.1) -> DataFrame:
+    """``line``: the hashes of the lines on ``min_sites`` sites."""
+    lines = _lines(narrow(df, id=id_col, text=text_col, site=site_col).where("site is not null")).select("line", "site")
+    spread = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_K)).alias("spread"))
+    spread = materialise(spread.where(F.col("spread") >= min_sites * (1 - margin)), "spread")
     sure = spread.where(F.col("spread") > min_sites * (1 + margin)).select("line")
-    near = spread.where(F.col("spread").between(min_sites * (1 - margin), min_sites * (1 + margin))).select("line")
-    exact = sites.join(near, "line", "left_semi").distinct().groupBy("line").count().where(F.col("count") >= min_sites).select("line")
+    near = spread.where(F.col("spread") <= min_sites * (1 + margin)).select("line")
+    exact = lines.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("line")
     return sure.unionAll(exact)
 
 
@@ -74,35 +65,29 @@ def _independent(source: DataFrame) -> DataFrame:
     return own.groupBy("text", "n").count().where(F.col("count") * 2 >= F.col("n")).select("text")
 
 
-def spread_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, margin: float = 0.1) -> DataFrame:
-    """``line``: the hashes of the lines to remove by whole sites and whole texts."""
+def independent_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, margin: float = 0.1) -> DataFrame:
+    """``line``: the hashes of the lines on ``min_sites`` sites and in as many independent texts."""
     source = narrow(df, id=id_col, text=text_col, site=site_col).where("site is not null")
-    lines = _lines(source)
-    frequent = lines.groupBy("line").count().where(F.col("count") >= min_sites).select("line")
-    sites = lines.select("line", "site").join(frequent, "line", "left_semi")
-    spread = sites.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_K)).alias("spread"))
-    sure = spread.where(F.col("spread") > min_sites * (1 + margin)).select("line")
-    near = spread.where(F.col("spread").between(min_sites * (1 - margin), min_sites * (1 + margin))).select("line")
-    exact = sites.join(near, "line", "left_semi").distinct().groupBy("line").count().where(F.col("count") >= min_sites).select("line")
-    wide = materialise(sure.unionAll(exact), "wide-lines")
-    hits = lines.join(wide, "line", "left_semi").select(F.xxhash64("digest").alias("text"), "line").distinct()
+    wide = materialise(spread_lines(source, id_col="id", text_col="text", site_col="site", min_sites=min_sites, margin=margin), "wide-lines")
+    hits = _lines(source).join(wide, "line", "left_semi").select(F.xxhash64("digest").alias("text"), "line").distinct()
     told = hits.join(_independent(source), "text", "left_semi")
     return told.groupBy("line").count().where(F.col("count") >= min_sites).select("line")
 
 
-def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_varied: float = 0.5, margin: float = 0.1, whole_texts: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, margin: float = 0.1, independent: bool = False) -> DataFrame:
     """``df`` with the boilerplate taken out of the text column, and two more columns: ``n_lines`` and
-    ``n_removed`` (columns of these names are replaced). Every row stays, also where no line does. ``whole_texts``:
-    by ``spread_lines``, to which ``min_varied`` means nothing."""
+    ``n_removed`` (columns of these names are replaced). Every row stays, also where no line does."""
     df = df.drop("n_lines", "n_removed")
     columns = {"id_col": id_col, "text_col": text_col, "site_col": site_col, "min_sites": min_sites, "margin": margin}
-    remove = spread_lines(df, **columns) if whole_texts else boilerplate_lines(df, **columns, min_varied=min_varied)
+    remove = materialise(independent_lines(df, **columns) if independent else spread_lines(df, **columns), "boilerplate")
     hits = _lines(narrow(df, id=id_col, text=text_col, site=site_col)).join(remove, "line", "left_semi")
-    marks = hits.groupBy("id", "digest").agg(F.collect_set("at").alias("marks")).select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("marks").alias("__marks"))
-    text = F.col(f"`{text_col}`")
-    joined = df.withColumn("__key", F.sha2(text, 256)).join(marks, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__digest")), "left")
+    marks = hits.groupBy("id", "digest").agg(F.collect_set("at").alias("marks"))
+    # the caller's columns travel inside one, where no name can clash
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{id_col}`").alias("of"), F.sha2(F.col(f"`{text_col}`"), 256).alias("key"))
+    joined = whole.join(marks, F.col("of").eqNullSafe(F.col("id")) & (F.col("key") == F.col("digest")), "left")
+    text = F.col("row").getField(text_col)
     lines = F.split(text, "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("__marks"), i)), "\n")
-    columns = [F.when(F.col("__marks").isNull(), text).otherwise(kept).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns]
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("marks"), i)), "\n")
+    columns = [(F.when(F.col("marks").isNull(), text).otherwise(kept) if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns]
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return joined.select(*columns, n_lines.alias("n_lines"), F.when(F.col("__marks").isNull(), 0).otherwise(F.size("__marks")).cast("long").alias("n_removed"))
+    return joined.select(*columns, n_lines.alias("n_lines"), F.when(F.col("marks").isNull(), 0).otherwise(F.size("marks")).cast("long").alias("n_removed"))

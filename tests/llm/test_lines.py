@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from skein.llm import lines
 
-SCHEMA = "doc_id long, text string, source string, n_lines string, line string, id int"
+SCHEMA = "doc_id long, text string, source string, n_lines string, line string, id int, __key string, __id long, __marks int, row string"
 
 
 def documents():
@@ -14,31 +14,26 @@ def documents():
         rows.append((i, f"own {i}\n  Subscribe now! \nmore {i}", f"s{i % 15}"))
     for i in range(60, 90):  # one site only
         rows.append((i, f"own {i}\nlocal notice\nmore {i}", "s1"))
-    for i in range(90, 130):  # copies over many sites keep their lines
-        rows.append((i, "copied a\ncopied b\n\ncopied c", f"s{i % 15}"))
+    for i in range(90, 130):  # a block of three lines in the middle and another at the end
+        rows.append((i, f"own {i}\nCopyright notice\nAll rights reserved\nContact us\n\nmore {i}\nA\nB\nC", f"s{i}"))
     for i in range(130, 142):  # close to the threshold
         rows.append((i, f"q {i}\nnear line\nr {i}", f"s{i % 10}"))
     for i in range(142, 153):
         rows.append((i, f"q {i}\nbelow line\nr {i}", f"s{i % 9}"))
-    rows += [(200, None, "s1"), (201, "", "s2"), (202, "\n\n", "s3"), (None, "own x\nSubscribe now!\ny", None), (203, "Subscribe now!", "s4"), (203, "Subscribe now!", "s4")]
-    return [(*r, "clash", "clash", 1) for r in rows]
+    rows += [(300 + i, "Only line", f"s{i}") for i in range(40)]
+    rows += [(200, None, "s1"), (201, "", "s2"), (202, "\n\n", "s3"), (None, "own x\nSubscribe now!\ny", None), (203, "Subscribe now!", "s4"), (203, "Subscribe now!", "s4"), (203, "another text", "s4")]
+    rows.append((400, "\n".join(f"line {k}" if k % 3 else "Contact us" for k in range(60_000)), "s1"))
+    return [(*r, "clash", "clash", 1, "clash", 2, 3, "clash") for r in rows]
 
 
-def brute(rows, min_sites=10, min_varied=0.5):
-    around = defaultdict(list)
+def brute(rows, min_sites=10):
+    """The definition: lines on so many distinct sites go."""
+    sites = defaultdict(set)
     for _, text, site, *_ in rows:
         if text is not None and site is not None:
-            trimmed = [x.strip(" \t\r") for x in text.split("\n")]
-            for i, x in enumerate(trimmed):
-                if x:
-                    around[x].append(((trimmed[i - 1] if i else None, trimmed[i + 1] if i + 1 < len(trimmed) else None), site))
-    gone = set()
-    for x, seen in around.items():
-        one = {}
-        for a, site in seen:
-            one[a] = min(one.get(a, site), site)
-        if len(one) >= max(min_sites, min_varied * len(seen)) and len(set(one.values())) >= min_sites:
-            gone.add(x)
+            for x in text.split("\n"):
+                sites[x.strip(" \t\r")].add(site)
+    gone = {x for x, on in sites.items() if x and len(on) >= min_sites}
     out = []
     for i, text, *_ in rows:
         parts = text.split("\n") if text is not None else []
@@ -52,11 +47,21 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = lines.dedup_lines(df)
     expected, gone = brute(rows)
-    assert gone == {"Subscribe now!", "near line"}
+    assert gone == {"Subscribe now!", "near line", "Copyright notice", "All rights reserved", "Contact us", "A", "B", "C", "Only line"}
     assert sorted(str(tuple(r)) for r in got.select("doc_id", "text", "n_lines", "n_removed").collect()) == expected
+    assert got.columns == [*[c for c in df.columns if c != "n_lines"], "n_lines", "n_removed"]
+    assert {tuple(r) for r in got.select("line", "id", "__key", "__id", "__marks", "row").collect()} == {("clash", 1, "clash", 2, 3, "clash")}
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_many_sites_by_estimate(spark):
+    """A threshold at which the sketches estimate, with lines on both sides of it and close to it."""
+    rows = [(s, f"t{n} of all", f"site {s}") for n in (900, 980, 999, 1000, 1020, 1500) for s in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = lines.dedup_lines(df, min_sites=1000).where("n_removed > 0").groupBy("n_lines").count().collect()
+    assert [tuple(r) for r in got] == [(1, 1000 + 1020 + 1500)]
+
+
 def test_native(spark):
     df = spark.createDataFrame([(1, "a\nb", "s")], "doc_id long, text string, source string")
     plan = lines.dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
