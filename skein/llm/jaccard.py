@@ -1,28 +1,29 @@
 """N-gram Jaccard join: a size-aware heavy-light join over the word shingles of whole texts.
 
 A document's set has its distinct n-word shingles (64-bit hashes). Equal sets form one class first; the join is
-between classes.
+between classes, whose ids are told apart by 128 bits.
+
+Inverted lists, one for each shingle, are made in ranges of the hash. The first range is listed for all classes. What
+of it only one class has cannot be in an overlap, and a class with more of that than a link may lack, n - ceil(t n)
+shingles, links with nothing and is through. The other ranges are listed for the remaining classes only, mostly those
+that do have near copies. There the lists' lengths are known, the same test is made once more over all ranges, and each
+set is put in order, its shingles of the shortest lists first.
+
+Heavy: linked sets share one at least of their first n - ceil(t n) + 1 shingles in that order. Hence a set scans the
+lists of those only, and of those the lists of shingles that it has alone are not even there.
 
 Light: of two small sets with sizes a <= b that link, the overlap is at least o(a, b), so they share a subset of
 exactly that size. All such subsets are enumerated under the key (a, b, subset). Sets of either size that meet there
 overlap enough by themselves, so a bucket's links are a star around a member of size a, with none left out.
 
-Heavy: for large sets subsets are too many, and inverted lists are scanned. With J >= t the symmetric difference has
-at most D = (a + b)(1 - t) / (1 + t) shingles. The shingles are dealt by hash into D + 1 + e groups for a class of
-sizes, so 1 + e groups at least hold the same shingles in both sets, and a list has the sets that have a certain
-group, whole. Lists of single shingles would hold a third of the corpus where a passage is that common; a group seldom
-does. Each set leaves out its e weakest groups, those with the fewest shingles that are not frequent in the corpus, then
-the fewest shingles. The order depends on a group's content only, so the strongest group that two sets have in common
-is left out by neither: 1 + e common groups are not all among the e weakest.
-
-The boundary between the two is where the enumeration of subsets would cost more than the lists, summed over the
-sizes that the corpus has.
+The boundary between the two is the size from which on scanning lists, by the measured lengths of the lists that the
+sets of each size are in, costs less than the enumeration of subsets.
 
 Lists become edges to a pivot of each list, which are verified on the whole sets. Pairs of a list that are not in one
 component afterwards are found through their differences from that pivot, which are small, and verified in turn, so a
-group of n near copies costs about n verifications and no link is lost. Nothing is capped or sampled. Hot keys: list minima are aggregated partially before their shuffle, the
-joins are plain equi-joins, which adaptive execution splits; driver and broadcasts hold the size histogram (64 rows)
-and the frequent shingles (``max_frequent`` at most; fewer of them change costs, not results).
+group of n near copies costs about n verifications and no link is lost. Nothing is capped or sampled. Hot keys: lengths
+and pivots of lists are aggregated partially before their shuffle, the joins are plain equi-joins, whose long lists
+adaptive execution splits; the driver holds 64 rows of sizes and nothing is broadcast by name.
 
 Defined results: a text with fewer words than n has one shingle, all its words; a null text or one without words has
 the empty set and no links; a null id takes no part and has no component; repeated rows are one class.
@@ -39,20 +40,16 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, narrow
+from .common import discard, materialise, narrow
 from .components import components
 
 #: Sizes that can be light; far above where enumeration still pays.
 LIGHT_LIMIT = 64
-#: Size classes of large sets grow by this factor.
-GROWTH = 1.5
 #: Orders in which the pivot of a list is picked, so that a set meets several pivots.
 ORDERS = 4
-#: A list that may be long passes the first exchange in so many parts; a power of two.
-SALTS = 64
 MEMO_ENTRIES = 300_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -117,35 +114,6 @@ class Similarity:
         return size * self.den // self.num
 
 
-@dataclass(frozen=True)
-class SizeClass:
-    """Sets with low <= size <= high, whose shingles are dealt into ``groups``; ``spare`` is e above."""
-
-    label: int
-    low: int
-    high: int
-    groups: int
-    spare: int
-
-
-def _size_class(label: int, low: int, high: int, difference: int) -> SizeClass:
-    needed = difference + 1
-    spare = math.ceil(needed * (0.15 if low / needed > 5 else 0.3))
-    return SizeClass(label, low, high, needed + spare, spare)
-
-
-def size_classes(boundary: int, largest: int, t: Similarity) -> list[SizeClass]:
-    """Classes such that any two linked sets, the larger of at least ``boundary``, are in one together."""
-    out, low, label = [], boundary, 0
-    while low <= largest:
-        high = max(low, math.ceil(low * GROWTH) - 1)
-        across = t.most(low)
-        out.append(_size_class(label, t.least(low), across, t.difference(low - 1 + across)))
-        out.append(_size_class(label + 1, low, high, t.difference(2 * high)))
-        low, label = high + 1, label + 2
-    return out
-
-
 def subset_keys(size: int, t: Similarity, boundary: int) -> list[tuple[int, int, int]]:
     """(a, b, subset size) for each pair of light sizes a <= b that a set of this size is in."""
     out = []
@@ -157,143 +125,78 @@ def subset_keys(size: int, t: Similarity, boundary: int) -> list[tuple[int, int,
     return out
 
 
-def choose_boundary(sizes: dict[int, int], t: Similarity) -> int:
-    """The size from which on sets are heavy: the least sum of subsets enumerated below it and list entries above."""
+def choose_boundary(sizes: dict[int, tuple[int, int]], t: Similarity) -> int:
+    """The size from which on sets are heavy, by ``sizes``: size -> (sets, entries of the lists that these scan). The
+    least sum of subsets enumerated below it and of list entries above."""
 
-    def light(a: int) -> float:
+    def light(a: int) -> int:
         return sum(comb(a, o) for _, _, o in subset_keys(a, t, LIGHT_LIMIT))
 
-    def heavy(a: int) -> float:  # an entry is written, read and matched, and a candidate's set is verified
-        return 4.0 * (t.difference(2 * math.ceil(a * GROWTH)) + 1) + a
-
-    best, at, below, above = math.inf, 2, 0.0, sum(n * heavy(a) for a, n in sizes.items() if 2 <= a < LIGHT_LIMIT)
+    best, at, below, above = math.inf, 2, 0, sum(scanned for _, scanned in sizes.values())
     for x in range(2, LIGHT_LIMIT + 1):
-        if below + above <= best:
+        if below + above < best:
             best, at = below + above, x
-        if x < LIGHT_LIMIT:
-            n = sizes.get(x, 0)
-            below += (n + 1e-3) * light(x)
-            above -= n * heavy(x) - 1e-3 * heavy(x)
+        sets, scanned = sizes.get(x, (0, 0))
+        below += sets * light(x)
+        above -= scanned
     return at
 
 
-def class_of(found: np.ndarray) -> int:
-    """The class's id: a hash of the whole set."""
-    return xxhash.xxh3_64_intdigest(found.tobytes(), seed=len(found)) - (1 << 63)
+def class_of(found: np.ndarray) -> tuple[int, int]:
+    """Two hashes of the whole set, of 64 bits each."""
+    h = xxhash.xxh3_128_intdigest(found.tobytes(), seed=len(found))
+    return (h & (1 << 64) - 1) - (1 << 63), (h >> 64) - (1 << 63)
+
 
+def first_range(t: Similarity) -> np.uint64:
+    """The upper end of the first range of shingle hashes. Sets whose own shingles are a share f of all are through
+    after it if f times the range's share is over 1 - t."""
+    share = min(1.0, 0.2 + 0.5 * (t.den - t.num) / t.den)
+    return np.uint64(int(share * ((1 << 64) - 1)))
 
-#: Kinds of a list entry: of a heavy set, its group with shingles that are not frequent, or without; of a light set
-#: with the pair's smaller size, or with its larger.
-HEAVY, LIGHT_LESS, LIGHT_MORE, COMMON = 0, 1, 2, 3
 
+#: Kinds of a list entry: of a shingle's list; of a subset's, of a set with the pair's smaller size, or with its larger.
+HEAVY, LIGHT_LESS, LIGHT_MORE = 0, 1, 2
 
-def list_entries(found: np.ndarray, t: Similarity, boundary: int, classes: list[SizeClass], frequent: np.ndarray) -> tuple[np.ndarray, int | np.ndarray]:
-    """The keys of the lists that a set is in, and their kinds."""
+
+def light_entries(found: np.ndarray, t: Similarity, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the subsets that a light set is enumerated under, and their kinds."""
     n = len(found)
-    if n == 0:
-        return np.empty(0, np.uint64), HEAVY
-    keys, kinds = [], []
-    if n < boundary:
-        values = mixed(found)
-        for a, b, o in subset_keys(n, t, boundary):
-            chosen = np.fromiter((i for c in combinations(range(n), o) for i in c), np.int64).reshape(-1, o)
-            salt = np.uint64(a << 40 | b << 20 | o)
-            keys.append(mixed(values[chosen].sum(1, dtype=np.uint64) ^ mixed(np.array([salt]))))
-            kinds.append(np.full(len(chosen), LIGHT_LESS if n == a else LIGHT_MORE, np.int8))
-    concerned = [c for c in classes if c.low <= n <= c.high]
-    if concerned:
-        values = mixed(found ^ np.uint64(0x9E3779B97F4A7C15))
-        low, high = (values & np.uint64(0xFFFFFFFF)).astype(np.float64), (values >> np.uint64(32)).astype(np.float64)
-        if len(frequent):
-            at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-            rare = (frequent[at] != found).astype(np.float64)
-        else:
-            rare = np.ones(n)
-        for c in concerned:
-            group = (found % np.uint64(c.groups)).astype(np.int64)
-            rares, sizes = (np.bincount(group, weights=w, minlength=c.groups) for w in (rare, None))
-            sums = np.bincount(group, weights=low, minlength=c.groups).astype(np.uint64) + (np.bincount(group, weights=high, minlength=c.groups).astype(np.uint64) << np.uint64(32))
-            key = mixed(sums ^ mixed(np.arange(c.groups, dtype=np.uint64) + np.uint64((c.label + 1) << 32)))
-            kept = np.lexsort((key, sizes, np.minimum(rares, 3)))[c.spare :]
-            keys.append(key[kept])
-            kinds.append(np.where(rares[kept] > 0, HEAVY, COMMON).astype(np.int8))
-    return (np.concatenate(keys), np.concatenate(kinds)) if keys else (np.empty(0, np.uint64), HEAVY)
+    keys, kinds = [np.empty(0, np.uint64)], [np.empty(0, np.int8)]
+    values = mixed(found)
+    for a, b, o in subset_keys(n, t, boundary):
+        chosen = np.fromiter((i for c in combinations(range(n), o) for i in c), np.int64).reshape(-1, o)
+        salt = np.uint64(a << 40 | b << 20 | o)
+        keys.append(mixed(values[chosen].sum(1, dtype=np.uint64) ^ mixed(np.array([salt]))))
+        kinds.append(np.full(len(chosen), LIGHT_LESS if n == a else LIGHT_MORE, np.int8))
+    return np.concatenate(keys), np.concatenate(kinds)
 
 
 def _per_text(df: DataFrame, schema: str, rows_of) -> DataFrame:
-    """mapInArrow with ``rows_of(ids, texts)`` -> RecordBatch for stretches of a batch, to bound memory."""
+    """mapInArrow with ``rows_of(ids, texts, told)`` -> RecordBatch for stretches of a batch, to bound memory; ``told``
+    is a set of the task's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
         for batch in batches:
             ids, texts = batch.column("id"), batch.column("text")
             for at in range(0, len(ids), 1024):
-                yield rows_of(ids.slice(at, 1024), [x.as_py() for x in texts.slice(at, 1024)])
+                yield rows_of(ids.slice(at, 1024), [x.as_py() for x in texts.slice(at, 1024)], told)
 
     return df.mapInArrow(run, schema)
 
 
-def _frequent_shingles(source: DataFrame, words: int, max_frequent: int) -> np.ndarray:
-    """The shingles frequent in the corpus, sorted: each task counts all of its texts and reports those that are
-    repeated there; the sums decide. At most ``max_frequent``, which bounds what is broadcast."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush():
-            values, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= 2
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["shingle", "n"])
-
-        for batch in batches:
-            for value in batch.column("text"):
-                held.append(shingles(value.as_py(), words))
-                size += len(held[-1])
-                if size > 4_000_000:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    least = 4
-    counts = source.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = counts.orderBy(F.desc("n"), "shingle").limit(max_frequent).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
-    return np.sort(rows.view(np.uint64))
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries in the order of their lists -> members of the short lists with two classes at least and their pivot; the
-    other entries pass through without one."""
-    held: list[np.ndarray] = []
-
-    def members(lists: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
-        salt = mixed(lists.view(np.uint64) % np.uint64(ORDERS) + np.uint64(1))
-        order = np.lexsort((mixed(classes.view(np.uint64) ^ salt), lists))
-        lists, classes = lists[order], classes[order]
-        first = np.append(True, lists[1:] != lists[:-1])
-        begins = np.flatnonzero(first)
-        sizes = np.diff(np.append(begins, len(lists)))
-        several = np.maximum.reduceat(classes, begins) != np.minimum.reduceat(classes, begins)
-        kept = np.repeat(several, sizes)
-        return out(lists[kept], classes[kept], np.full(int(kept.sum()), HEAVY, np.int8), pa.array(np.repeat(classes[begins], sizes)[kept]))
-
-    def out(lists, classes, kinds, pivots) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(lists), pa.array(classes), pa.array(kinds), pivots], ["list", "class", "kind", "pivot"])
-
-    for batch in batches:
-        lists, classes, kinds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("list", "class", "kind"))
-        short = kinds == HEAVY
-        yield out(lists[~short], classes[~short], kinds[~short], pa.nulls(int((~short).sum()), pa.int64()))
-        lists, classes = lists[short], classes[short]
-        if held:
-            lists, classes = np.concatenate([held[0], lists]), np.concatenate([held[1], classes])
-        if len(lists):
-            cut = np.searchsorted(lists, lists[-1])  # the last list may go on in the next batch
-            if cut:
-                yield members(lists[:cut], classes[:cut])
-            held = [lists[cut:], classes[cut:]]
-    if held and len(held[0]):
-        yield members(*held)
+def _apart(told: DataFrame) -> DataFrame:
+    """``told`` with another ``class`` for rows that share theirs with other sets, which ``check`` tells. At 64 bits
+    this concerns a few hundred classes of 10^11."""
+    shared = told.groupBy("class").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("class", "low")
+    if not shared.limit(1).count():
+        return told
+    other = F.col("low").isNotNull() & (F.col("check") != F.col("low"))
+    moved = told.join(shared, "class", "left").withColumn("class", F.when(other, F.xxhash64("class", "check")).otherwise(F.col("class")))
+    moved = materialise(moved.select(told.columns), "sizes")
+    discard(told)
+    return _apart(moved)
 
 
 def _linked(edges: DataFrame, sets: DataFrame, t: Similarity) -> DataFrame:
@@ -306,69 +209,65 @@ def _linked(edges: DataFrame, sets: DataFrame, t: Similarity) -> DataFrame:
     return pairs.withColumn("common", common).where(F.col("common") * t.den >= union * t.num).select("a", "b")
 
 
-def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, max_frequent: int = 1_000_000) -> DataFrame:
+def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row: ``id_col``, ``n_shingles`` and ``component_id``, the smallest id reachable by links J >= num / den."""
-    spark, t = df.sparkSession, Similarity(num, den)
+    t = Similarity(num, den)
     source = narrow(df, id=id_col, text=text_col)
     id_type = source.schema["id"].dataType.simpleString()
+    limit = first_range(t)
 
-    def sized(ids, texts):
+    def sized(ids, texts, told):
         found = [shingles(x, words) for x in texts]
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(f) for f in found], pa.int64()), pa.array([class_of(f) for f in found], pa.int64())], ["id", "n", "class"])
-
-    told = materialise(_per_text(source, f"id {id_type}, n long, class long", sized), "sizes")
-    largest = told.agg(F.max("n")).head()[0]
-    sizes = dict(map(tuple, told.where(F.col("n") < LIGHT_LIMIT).groupBy("n").count().collect()))  # 64 rows at most
-    boundary = choose_boundary(sizes, t)
-    classes = size_classes(boundary, largest or 0, t)
-    frequent = spark.sparkContext.broadcast(_frequent_shingles(source, words, max_frequent))
-
-    def entries(ids, texts):
-        keys, owners, kinds = [], [], []
-        for text in texts:
-            found = shingles(text, words)
-            key, kind = list_entries(found, t, boundary, classes, frequent.value)
-            if len(key):
-                keys.append(key)
-                owners.append(np.full(len(key), class_of(found), np.int64))
-                kinds.append(kind)
-        if not keys:
-            keys, owners, kinds = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int8)]
-        key, owner, kind = np.concatenate(keys), np.concatenate(owners), np.concatenate(kinds).astype(np.int8)
-        salt = np.where(kind == HEAVY, 0, owner & SALTS - 1).astype(np.int8)
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner), pa.array(kind), pa.array(salt)], ["list", "class", "kind", "salt"])
-
-    # lists of groups that hold a rare shingle are short and meet in one exchange; the others, which may be as long as a
-    # hot group of documents, pass through it spread by a salt and meet by partial aggregation
-    lists = _per_text(source.where("id is not null"), "list long, class long, kind byte, salt byte", entries)
-    met = materialise(lists.repartition("list", "salt").sortWithinPartitions("list").mapInArrow(_meet, "list long, class long, kind byte, pivot long"), "met")
-    open_ = met.where("pivot is null").drop("pivot")
+        hashes = [class_of(f) for f in found]
+        parts = []
+        for f, h, sound in zip(found, hashes, ids.is_valid().to_pylist(), strict=True):
+            once = sound and len(f) and h not in told  # a class posts once in a task
+            if once:
+                told.add(h)
+            parts.append(f[: np.searchsorted(f, limit, side="right")].view(np.int64) if once else None)
+        keys = pa.array([h for h, _ in hashes], pa.int64())
+        return pa.RecordBatch.from_arrays([ids, pa.array([len(f) for f in found], pa.int64()), keys, keys, pa.array([h for _, h in hashes], pa.int64()), pa.array(parts, pa.list_(pa.int64()))], ["id", "n", "class", "key", "check", "part"])
+
+    wide = _apart(materialise(_per_text(source, f"id {id_type}, n long, class long, key long, check long, part array<long>", sized), "sizes"))
+    least = F.expr(f"cast((n * {num} + {den - 1}) div {den} as int)")  # of an overlap, whatever the other set's size
+    open_ = _open(wide, least)
+    told = materialise(wide.select("id", "n", "class"), "told")
+    discard(wide)
+    sets = _whole_sets(open_, source, words)
+    discard(open_)
+    lists = _lists(sets, least)
+
+    lengths = lists.groupBy("list").agg(F.count("*").alias("length"))
+    small = lists.where(F.col("n") < LIGHT_LIMIT).join(lengths, "list").groupBy("n").agg(F.countDistinct("class").alias("sets"), F.sum("length").alias("scanned"))
+    boundary = choose_boundary({r["n"]: (r["sets"], r["scanned"]) for r in small.collect()}, t)  # 64 rows at most
+
+    def enumerated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [light_entries(np.array(x.as_py(), np.int64).view(np.uint64), t, boundary) for x in part.column("shingles")]
+                owners = np.repeat(part.column("class").to_numpy(), [len(k) for k, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in found]).view(np.int64)), pa.array(owners), pa.array(np.concatenate([k for _, k in found]))], ["list", "class", "kind"])
+
+    open_light = lists.where(F.col("n") < boundary).select("class").distinct()
+    light = sets.where(F.col("n") < boundary).join(open_light, "class", "left_semi").select("class", "shingles").mapInArrow(enumerated, "list long, class long, kind byte")
+    heavy = lists.where(F.col("n") * den >= boundary * num).select("list", "class", F.lit(HEAVY).cast("byte").alias("kind"))
+    # the kind sets subsets apart from shingles with the same hash
+    entries = materialise(heavy.unionAll(light).select(F.when(F.col("kind") == HEAVY, F.col("list")).otherwise(F.xxhash64("list")).alias("list"), "class", "kind"), "entries")
     order = F.xxhash64(F.pmod("list", F.lit(ORDERS)))
-    placed = open_.withColumn("at", F.col("class").bitwiseXOR(order))
+    placed = entries.withColumn("at", F.col("class").bitwiseXOR(order))
     ends = placed.groupBy("list").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min(F.when(F.col("kind") != LIGHT_MORE, F.col("at"))).alias("pivot"))
     shared = ends.where("first <> last and pivot is not null").select("list", F.col("pivot").bitwiseXOR(order).alias("pivot"))
-    members = met.where("pivot is not null").select("pivot", "class", "kind").unionAll(open_.join(shared, "list").select("pivot", "class", "kind"))
-    members = materialise(members.where("pivot <> class").groupBy("pivot", "class").agg(F.count("*").alias("times"), F.max(F.col("kind").isin(HEAVY, COMMON)).alias("heavy")), "members")
+    members = entries.join(shared, "list").where("pivot <> class")
+    members = materialise(members.groupBy("pivot", "class").agg(F.count("*").alias("times"), F.max(F.col("kind") == HEAVY).alias("heavy")), "members")
     edges = members.groupBy(F.least("pivot", "class").alias("a"), F.greatest("pivot", "class").alias("b")).agg(F.sum("times").alias("times"))
     edges = materialise(edges, "edges")
 
-    # the sets of the classes that have an edge, from one document each
-    wanted = edges.select(F.col("a").alias("class")).unionAll(edges.select(F.col("b").alias("class"))).distinct()
-    chosen = told.where("id is not null").groupBy("class").agg(F.min("id").alias("id")).join(wanted, "class", "left_semi")
-
-    def whole(ids, texts):
-        found = [shingles(x, words) for x in texts]
-        return pa.RecordBatch.from_arrays([pa.array([class_of(f) for f in found], pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["class", "shingles"])
-
-    texts = source.join(chosen.select("id"), "id", "left_semi")
-    sets = _per_text(texts, "class long, shingles array<long>", whole)
-    sets = materialise(sets.join(wanted, "class", "left_semi").dropDuplicates(["class"]), "sets")
-
     # first each class against the pivot that it shares most lists with, then what that has not joined
     ends_of = edges.select(F.col("a").alias("class"), F.col("b").alias("to"), "times").unionAll(edges.select(F.col("b").alias("class"), F.col("a").alias("to"), "times"))
     best = ends_of.groupBy("class").agg(F.max_by("to", F.struct("times", F.col("to"))).alias("to"))
     first = best.select(F.least("class", "to").alias("a"), F.greatest("class", "to").alias("b")).distinct()
-    links = materialise(_linked(first, sets, t), "links")
+    first_links = links = materialise(_linked(first, sets, t), "links")
     joined = components(links)
     rest = _across(edges.select("a", "b").join(first, ["a", "b"], "left_anti"), joined)
     more = materialise(_linked(rest, sets, t), "links")
@@ -377,20 +276,62 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # pairs of a list that are in different components yet, neither being its pivot
     star = members.where("heavy").select("pivot", "class")
-    left = _unsettled(star, joined, sets, t)
+    left, used = _unsettled(star, joined, sets, t)
     last = materialise(_linked(left.join(edges.select("a", "b"), ["a", "b"], "left_anti"), sets, t), "links")
     if last.limit(1).count():
         joined = components(links.unionAll(last))
 
-    least = told.join(joined.withColumnRenamed("node", "class"), "class", "left").where("id is not null").groupBy(F.coalesce("component", "class").alias("group")).agg(F.min("id").alias("component_id"))
-    groups = told.where("n > 0").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("group", F.when(F.col("id").isNotNull(), F.coalesce("component", "class")))
-    linked = groups.join(least, "group", "left").select("id", "n", "component_id")
+    for consumed in (sets, lists, entries, members, edges, first_links, more, last, *used):
+        discard(consumed)
+    # a row for each class, then for each group; both are tables by the time that they are joined by keys which many
+    # classes of a group and many rows of a class share, so that those joins can be split
+    named = told.where("id is not null and n > 0").groupBy("class").agg(F.min("id").alias("id")).join(joined.withColumnRenamed("node", "class"), "class", "left")
+    named = materialise(named.select("class", "id", F.coalesce("component", "class").alias("group")), "named")
+    firsts = materialise(named.groupBy("group").agg(F.min("id").alias("component_id")), "firsts")
+    of_class = materialise(named.join(firsts, "group").select("class", "component_id"), "classes")
+    discard(named)
+    discard(firsts)
+    linked = told.where("n > 0").select("id", "n", "class").join(of_class, "class", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     alone = told.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionAll(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _unsettled(star: DataFrame, joined: DataFrame, sets: DataFrame, t: Similarity) -> DataFrame:
-    """The pairs (a, b) around a pivot that may link, in different components; none that links is left out.
+def _open(told: DataFrame, least: Column) -> DataFrame:
+    """(class, id, n, key, check) of the classes that may have a link by the first range of lists."""
+    classes = told.where("id is not null and n > 0").groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.max("key").alias("key"), F.max("check").alias("check"))
+    # a class may post from several tasks: a list with one class is its own, however often that has posted
+    first = told.where("part is not null").select("class", F.explode("part").alias("list"))
+    own = first.groupBy("list").agg(F.min("class").alias("class"), F.max("class").alias("last")).where("class = last").groupBy("class").agg(F.count("*").alias("own"))
+    return materialise(classes.join(own, "class", "left").where(F.coalesce("own", F.lit(0)) <= F.col("n") - least).drop("own"), "open")
+
+
+def _whole_sets(open_: DataFrame, source: DataFrame, words: int) -> DataFrame:
+    """(class, n, shingles) of these classes, from one document each."""
+
+    def whole(ids, texts, _):
+        found = [shingles(x, words) for x in texts]
+        hashes = [class_of(f) for f in found]
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in hashes], pa.int64()), pa.array([h for _, h in hashes], pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["key", "check", "shingles"])
+
+    texts = source.join(open_.select("id").distinct(), "id", "left_semi")
+    sets = _per_text(texts, "key long, check long, shingles array<long>", whole)
+    return materialise(sets.join(open_.select("key", "check", "class", "n"), ["key", "check"]).dropDuplicates(["key", "check"]).select("class", "n", "shingles"), "sets")
+
+
+def _lists(sets: DataFrame, least: Column) -> DataFrame:
+    """(list, class, n): the prefix that each set scans, in the order of the lists' lengths, if it may still link."""
+    each = sets.select("class", "n", F.explode("shingles").alias("list"))
+    lengths = each.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
+    ranked = each.join(lengths, "list").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("length", "list"))).alias("ranked"))
+    # the first shingles of the order are the set's own, which have no list: n - size of them
+    prefix = F.slice("ranked", F.lit(1), F.size("ranked") - least + 1)
+    ranked = ranked.where(F.size("ranked") >= least).select("class", "n", F.explode(prefix).alias("at")).select(F.col("at.list").alias("list"), "class", "n")
+    return materialise(ranked, "lists")
+
+
+def _unsettled(star: DataFrame, joined: DataFrame, sets: DataFrame, t: Similarity) -> tuple[DataFrame, list[DataFrame]]:
+    """The pairs (a, b) around a pivot that may link, in different components; none that links is left out. With the
+    tables to discard once they are read.
 
     A member x differs from its pivot in d(x) shingles. Two members' symmetric difference is d(a) + d(b) less twice
     what their differences have in common, so a link needs a common part of at least (d(a) + d(b) - D) / 2; if that is
@@ -406,14 +347,14 @@ def _unsettled(star: DataFrame, joined: DataFrame, sets: DataFrame, t: Similarit
     centre = sets.select(F.col("class").alias("pivot"), F.col("shingles").alias("of_centre"))
     own = told.join(sets, "class").join(centre, "pivot")
     diff = F.concat(F.array_except("shingles", "of_centre"), F.array_except("of_centre", "shingles"))
-    own = materialise(own.select("pivot", "class", "component", F.size("shingles").alias("n"), diff.alias("diff")), "differences")
+    every = own = materialise(own.select("pivot", "class", "component", F.size("shingles").alias("n"), diff.alias("diff")), "differences")
     most = F.floor((F.col("n") + F.floor(F.col("n") * t.den / t.num)) * (t.den - t.num) / (t.den + t.num))
     own = own.withColumn("d", F.size("diff")).withColumn("most", most)
     # members whose differences are their own already in one half of the hashes need no look at the other half
     half = _common_part(own.withColumn("diff", F.filter("diff", lambda x: x.bitwiseAND(F.lit(1)) == 0)))
     half = own.select("pivot", "class", "most", F.size(F.filter("diff", lambda x: x.bitwiseAND(F.lit(1)) == 0)).alias("all")).join(half, ["pivot", "class"], "left")
     near = half.where(F.col("all") - F.coalesce(F.size("common"), F.lit(0)) <= F.col("most")).select("pivot", "class")
-    own = materialise(own.join(near, ["pivot", "class"], "left_semi"), "differences")
+    near_own = own = materialise(own.join(near, ["pivot", "class"], "left_semi"), "differences")
     counts = _common_part(own)
     least = F.greatest(F.lit(1), F.col("d") - F.col("most"))
     held = own.drop("diff").join(counts, ["pivot", "class"]).withColumn("u", F.col("d") - F.size("common")).where("u <= most")
@@ -428,7 +369,7 @@ def _unsettled(star: DataFrame, joined: DataFrame, sets: DataFrame, t: Similarit
     may &= 2 * F.least("la", "lb") >= F.col("da") + F.col("db") - limit
     on = (F.col("pivot") == F.col("centre")) & (F.col("shingle") == F.col("other"))
     met = a.join(b.withColumnRenamed("pivot", "centre").withColumnRenamed("shingle", "other"), on & may)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), [every, near_own, held]
 
 
 def _common_part(own: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -9,7 +10,11 @@ from skein.llm.components import components
 
 
 def brute(rows, words, num, den):
-    sets = [(i, frozenset(jaccard.shingles(t, words).tolist())) for i, t in rows]
+    def shingled(text):
+        w = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        return frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else [])
+
+    sets = [(i, shingled(t)) for i, t in rows]
     parent = list(range(len(sets)))
 
     def find(x):
@@ -68,31 +73,49 @@ def test_empty(spark):
 
 
 @pytest.mark.parametrize("t", [jaccard.Similarity(90, 100), jaccard.Similarity(80, 100)])
-def test_linked_sets_share_a_list(t):
-    """Any two sets that link meet in a list, whichever shingles are taken for frequent."""
+def test_linked_light_sets_share_a_subset(t):
     r = np.random.default_rng(3)
-    for boundary in (2, 12, 20):
-        classes = jaccard.size_classes(boundary, 400, t)
+    for boundary in (6, 12, 20):
         for _ in range(300):
-            n = int(r.integers(1, 300)) if r.random() < 0.5 else int(r.integers(1, 30))
-            base = r.integers(0, 2**63, n + 60).astype(np.uint64)
-            gone = int(r.integers(0, max(1, n // 8) + 1))
-            new = int(r.integers(0, max(1, n // 8) + 1))
-            a, b = np.unique(base[:n]), np.unique(base[gone : n + new])
+            n = int(r.integers(1, boundary))
+            base = r.integers(0, 2**63, n + 8).astype(np.uint64)
+            a, b = np.unique(base[:n]), np.unique(base[int(r.integers(0, 2)) : n + int(r.integers(0, 3))])
             common = len(np.intersect1d(a, b))
-            frequent = np.unique(r.choice(base, int(r.integers(0, n + 1))))
-            if len(b) and common * t.den >= (len(a) + len(b) - common) * t.num:
-                (x, p), (y, q) = (jaccard.list_entries(s, t, boundary, classes, frequent) for s in (a, b))
-                assert set(x.tolist()) & set(y.tolist())
-                if max(len(a), len(b)) < boundary:
-                    less = {k for k, kind in [*zip(x.tolist(), p.tolist(), strict=True), *zip(y.tolist(), q.tolist(), strict=True)] if kind == jaccard.LIGHT_LESS}
-                    assert set(x.tolist()) & set(y.tolist()) & less
+            if len(b) and max(len(a), len(b)) < boundary and common * t.den >= (len(a) + len(b) - common) * t.num:
+                (x, p), (y, q) = (jaccard.light_entries(s, t, boundary) for s in (a, b))
+                less = {k for k, kind in [*zip(x.tolist(), p.tolist(), strict=True), *zip(y.tolist(), q.tolist(), strict=True)] if kind == jaccard.LIGHT_LESS}
+                assert set(x.tolist()) & set(y.tolist()) & less
 
 
-def test_boundary_follows_cost():
+def test_boundary_follows_measured_lists():
     t = jaccard.Similarity(90, 100)
-    assert 10 < jaccard.choose_boundary({n: 100 for n in range(64)}, t) < 40
-    assert 2 <= jaccard.choose_boundary({}, t) <= jaccard.LIGHT_LIMIT
+    short = jaccard.choose_boundary({n: (100, 300) for n in range(64)}, t)
+    long = jaccard.choose_boundary({n: (100, 3_000_000) for n in range(64)}, t)
+    assert 2 <= short < long < 64
+    assert jaccard.choose_boundary({}, t) == 2
+
+
+def test_sets_with_one_hash_are_told_apart(spark):
+    rows = [(1, 3, 7, 7, 50), (2, 3, 7, 7, 50), (3, 3, 7, 7, 60), (4, 3, 8, 8, 50)]
+    got = jaccard._apart(spark.createDataFrame(rows, "id long, n long, class long, key long, check long"))
+    classes = {r["id"]: r["class"] for r in got.collect()}
+    assert classes[1] == classes[2] == 7 and classes[4] == 8 and classes[3] not in (7, 8)
+
+
+def test_a_hot_group_and_very_long_texts(spark):
+    """Copies and near copies of one text, whose shingles are in most sets, and texts of 30,000 words."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(120)]
+    rows = [(i, " ".join(base)) for i in range(30)]
+    for i in range(30, 90):
+        near = list(base)
+        near[r.randrange(120)] = word()
+        rows.append((i, " ".join(near)))
+    long = [word() for _ in range(30_000)]
+    rows += [(100, " ".join(long)), (101, " ".join([*long[:15_000], "other", *long[15_001:]])), (102, " ".join(long[10_000:]))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=90, den=100).collect()
+    assert sorted(str(tuple(x)) for x in got) == brute(rows, 3, 90, 100)
 
 
 def test_components(spark):
