@@ -22,8 +22,9 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go out of the texts, judged by whole sites and texts; every document stays."""
-    cut = lines.dedup_lines(docs, whole_texts=True)
+    """Boilerplate lines go out of the texts; every document stays. Copies are left to the next stage: lines that only
+    they carry to other sites stay."""
+    cut = lines.dedup_lines(docs, independent=True)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
@@ -37,15 +38,17 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     id_type = docs.schema["doc_id"].dataType
     absent = F.lit(0 if isinstance(id_type, NumericType) else "").cast(id_type)
     key = F.struct(F.col("doc_id").isNull().alias("absent"), F.coalesce("doc_id", absent).alias("id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
-    keyed = docs.withColumn("__key", key)
-    groups = materialise(jaccard.jaccard_components(keyed, id_col="__key", words=5, num=80, den=100), "groups")
-    copies = groups.where("__key <> component_id").select("__key").distinct()
-    kept = keyed.join(copies, "__key", "left_anti")
-    repeated = groups.groupBy("__key").count().where("count > 1").select("__key")
-    if not repeated.limit(1).count():
-        return kept.select(docs.columns)
-    one = kept.join(repeated, "__key", "left_semi").groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-    return kept.join(repeated, "__key", "left_anti").select(docs.columns).unionAll(one.select("row.*"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    groups = materialise(jaccard.jaccard_components(docs.select(key.alias("key"), "text"), id_col="key", words=5, num=80, den=100), "groups")
+    copies = groups.where("key <> component_id").select("key").distinct()
+    # the documents' columns travel inside one, where no name can clash
+    keyed = docs.select(key.alias("key"), F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("rank"))
+    kept = keyed.join(copies, "key", "left_anti")
+    repeated = groups.groupBy("key").count().where("count > 1").select("key")
+    if repeated.limit(1).count():
+        one = kept.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("row", "rank").alias("row"))
+        kept = kept.join(repeated, "key", "left_anti").select("row").unionAll(one.select("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -404,3 +404,12 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.run(["query", "--join", "planet.id:flight.planet_id", "--index", "flight.num"], spark).count() == 200
     with pytest.raises(SystemExit):
         cli.run(["generate"], spark)
+
+
+def test_contents_on_the_console(spark, capsys):
+    registry = Registry(spark)
+    registry.create_table("t", spark.createDataFrame([(7, "seven")], "k int, s string"))
+    registry.show()
+    assert "---- t" in (printed := capsys.readouterr().out) and "seven" in printed
+    assert [tuple(r) for r in registry.contents().collect()] == [("t", '{"k":7,"s":"seven"}')]
+    assert Registry(spark).contents().count() == 0
