@@ -276,12 +276,20 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # pairs of a list that are in different components yet, neither being its pivot
     star = members.where("heavy").select("pivot", "class")
-    left, used = _unsettled(star, joined, sets, t)
+    meeting, used = _meeting(star, joined, sets, t)
+    # those that share a difference first go against one of them, so that groups do not meet in all pairs
+    centres = meeting.groupBy("pivot", "shingle").agg(F.min("class").alias("centre"))
+    near = meeting.join(centres, ["pivot", "shingle"]).where("class <> centre").select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
+    around = materialise(_linked(_across(near.join(edges.select("a", "b"), ["a", "b"], "left_anti"), joined), sets, t), "links")
+    if around.limit(1).count():
+        links = links.unionAll(around)
+        joined = components(links)
+    left = _pairs(meeting.drop("component").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), t)
     last = materialise(_linked(left.join(edges.select("a", "b"), ["a", "b"], "left_anti"), sets, t), "links")
     if last.limit(1).count():
         joined = components(links.unionAll(last))
 
-    for consumed in (sets, lists, entries, members, edges, first_links, more, last, *used):
+    for consumed in (sets, lists, entries, members, edges, first_links, more, around, last, *used):
         discard(consumed)
     # a row for each class, then for each group; both are tables by the time that they are joined by keys which many
     # classes of a group and many rows of a class share, so that those joins can be split
@@ -329,9 +337,9 @@ def _lists(sets: DataFrame, least: Column) -> DataFrame:
     return materialise(ranked, "lists")
 
 
-def _unsettled(star: DataFrame, joined: DataFrame, sets: DataFrame, t: Similarity) -> tuple[DataFrame, list[DataFrame]]:
-    """The pairs (a, b) around a pivot that may link, in different components; none that links is left out. With the
-    tables to discard once they are read.
+def _meeting(star: DataFrame, joined: DataFrame, sets: DataFrame, t: Similarity) -> tuple[DataFrame, list[DataFrame]]:
+    """Where members around a pivot meet that may link and are in different components: a row for each difference by
+    which they can; none that links is left out. With the tables to discard once they are read.
 
     A member x differs from its pivot in d(x) shingles. Two members' symmetric difference is d(a) + d(b) less twice
     what their differences have in common, so a link needs a common part of at least (d(a) + d(b) - D) / 2; if that is
@@ -360,6 +368,11 @@ def _unsettled(star: DataFrame, joined: DataFrame, sets: DataFrame, t: Similarit
     held = own.drop("diff").join(counts, ["pivot", "class"]).withColumn("u", F.col("d") - F.size("common")).where("u <= most")
     held = held.withColumn("shared", F.size("common")).withColumn("meet", F.slice("common", F.lit(1), F.greatest(F.lit(0), F.size("common") - least + 1).cast("int"))).drop("common")
     held = materialise(held.select("pivot", "class", "component", "n", "d", "u", (F.col("u") * 2 <= F.col("most")).alias("light"), "shared", F.posexplode("meet.shingle").alias("at", "shingle")).withColumn("left", F.col("shared") - F.col("at")), "meeting")
+    return held, [every, near_own, held]
+
+
+def _pairs(held: DataFrame, t: Similarity) -> DataFrame:
+    """The pairs (a, b) that meet in ``_meeting`` and may link, in different components."""
     a = held.where("light").select("pivot", "shingle", F.col("class").alias("a"), F.col("component").alias("of_a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("u").alias("ua"), F.col("left").alias("la"))
     b = held.select("pivot", "shingle", F.col("class").alias("b"), F.col("component").alias("of_b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("u").alias("ub"), F.col("left").alias("lb"), "light")
     limit = F.floor((F.col("na") + F.col("nb")) * (t.den - t.num) / (t.den + t.num))
@@ -369,7 +382,7 @@ def _unsettled(star: DataFrame, joined: DataFrame, sets: DataFrame, t: Similarit
     may &= 2 * F.least("la", "lb") >= F.col("da") + F.col("db") - limit
     on = (F.col("pivot") == F.col("centre")) & (F.col("shingle") == F.col("other"))
     met = a.join(b.withColumnRenamed("pivot", "centre").withColumnRenamed("shingle", "other"), on & may)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), [every, near_own, held]
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _common_part(own: DataFrame) -> DataFrame:
